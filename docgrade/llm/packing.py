@@ -18,6 +18,8 @@ import re
 import zlib
 from collections import deque
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import pick, pieces
 END = 2
 ROOM = 4096
 BLOCK = 1 << 20
-CACHE = 300_000
+CACHE = 800_000
 #: Prices in tokens of padding: a window, a cut at a sentence's end, a cut inside a sentence.
 WINDOW, SENTENCE, WORD = 8, 16, 256
 
@@ -39,6 +41,14 @@ L, N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-įı-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+")
 
 
+class Numbers(dict):
+    """Gives every new word the next number."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Tokens:
     """Texts to ids, with a bounded cache of words; equal to the tokenizer's own encoding."""
 
@@ -56,7 +66,7 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Numbers()
         self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
         self.length: list[np.ndarray] = [np.zeros(0, np.int64)]
 
@@ -76,23 +86,23 @@ class Tokens:
         """The ids of each text, with END after it."""
         texts = [t or "" for t in texts]
         simple = ["<|" not in t and SIMPLE.fullmatch(t) is not None for t in texts]
-        words = [SPLIT.findall(t.lower()) if s else [] for t, s in zip(texts, simple, strict=True)]
         if len(self.at) > CACHE:
             self.clear()
-        new = list({w for ws in words for w in ws if w not in self.at})
-        if new:
-            ids, length = self.words(new)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.flat.append(ids)
-            self.length.append(length)
-            self.flat, self.length = [np.concatenate(self.flat)], [np.concatenate(self.length)]
+        known = len(self.at)
+        numbers = []
+        for t, s in zip(texts, simple, strict=True):
+            ws = SPLIT.findall(t.lower()) if s else []
+            numbers.append(np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)))
+        if len(self.at) > known:
+            ids, length = self.words(list(islice(self.at, known, None)))
+            self.flat = [np.concatenate([*self.flat, ids])]
+            self.length = [np.concatenate([*self.length, length])]
         flat, length = self.flat[0], self.length[0]
         first = np.cumsum(length) - length
         hard = iter(self.encode([t for t, s in zip(texts, simple, strict=True) if not s]))
         out = []
-        for ws, s in zip(words, simple, strict=True):
+        for at, s in zip(numbers, simple, strict=True):
             if s:
-                at = np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))
                 n = length[at]
                 where = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 ids = flat[where]
@@ -102,6 +112,12 @@ class Tokens:
         return out
 
 
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One a worker, so that words stay known from task to task."""
+    return Tokens(path)
+
+
 def cuts(ends: np.ndarray, docs: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
     """Places where the stream may be cut, with their prices.
 
@@ -230,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """
 
     def run(batches):
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         packer = Packer(tokens.ends, TaskContext.get().partitionId() << 32, room)
         rows: list[tuple] = []
 
