@@ -97,6 +97,7 @@ def settle(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrade-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that nothing needs any more
 
     def drop() -> None:
         jvm = spark.sparkContext._jvm
