@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, licenses, packing, pii, substrings, topk, toxicity
+from . import chat, language, licenses, nearcopies, packing, pii, substrings, topk, toxicity
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(own)))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(table(spark, sf_dir, "documents"), size=4)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_substring_dedup": op10_substring_dedup,
