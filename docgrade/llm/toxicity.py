@@ -9,6 +9,7 @@ segments, one insult in a text of ten thousand words would vanish in the average
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -231,3 +232,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows that score below the threshold, all columns kept."""
+    made: list = []
+
+    def step(cols: dict[str, list]) -> dict[str, list]:
+        if not made:
+            made.append(scorer(model))
+        fine = (made[0](cols["text"]) < threshold).tolist()
+        return {c: list(itertools.compress(v, fine)) for c, v in cols.items()}
+
+    return map_rows(docs, step, docs.schema)
