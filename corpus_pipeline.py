@@ -1,11 +1,67 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: toxic documents go, near copies go, leaked benchmark items go, personal data is
+redacted, the rest is packed into sequences.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docgrade.llm import decontamination, nearcopies, packing, pii, toxicity
+from docgrade.llm.common import settle, table
+from docgrade.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go. Null texts are not toxic."""
+    return toxicity.keep(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays, once."""
+    found = nearcopies.groups(docs, size=5)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("pii", redact),
+    ("packing", pack),
+]
+
+#: A trained classifier and a tokenizer are among the stages; SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    drop_last = None
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs, drop = settle(stage(spark, docs, sf_dir))
+        if drop_last:
+            drop_last()
+        drop_last = drop
     return docs
