@@ -8,13 +8,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_CHARS = 2_000_000
 MIN_BODY = 20
 HEAD = 400
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no function for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
