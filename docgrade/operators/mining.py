@@ -43,5 +43,5 @@ def weighted_frequencies(docs: DataFrame, positive: Column, folder: str, rejecte
 
 def verdict(min_docs: int = 3, min_folders: int = 2, max_neg: float = 0.05) -> Column:
     return (
-        F.when(F.col("docs") < min_docs, "few_docs").when(F.col("folders") < min_folders, "few_folders").when(F.col("df_neg") > max_neg, "too_common").otherwise("ok")
+        F.when(F.col("docs") < min_docs, "few_docs").when(F.col("folders") < min_folders, "few_folders").when(F.round("df_neg", 9) > max_neg, "too_common").otherwise("ok")
     )

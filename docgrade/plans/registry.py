@@ -581,7 +581,7 @@ def term_log_odds(spark, sf_dir):
     return mined(spark, sf_dir).select("term", "docs", "folders", *[F.round(c, 6).alias(c) for c in ("df_pos", "df_neg", "log_odds")])
 
 
-@query(f"WITH {MINE_SQL} SELECT CASE WHEN docs < 3 THEN 'few_docs' WHEN folders < 2 THEN 'few_folders' WHEN df_neg > 0.05 THEN 'too_common' ELSE 'ok' END AS verdict, count(*) AS terms FROM f GROUP BY ALL")
+@query(f"WITH {MINE_SQL} SELECT CASE WHEN docs < 3 THEN 'few_docs' WHEN folders < 2 THEN 'few_folders' WHEN round(df_neg, 9) > 0.05 THEN 'too_common' ELSE 'ok' END AS verdict, count(*) AS terms FROM f GROUP BY ALL")
 def term_candidates(spark, sf_dir):
     return mined(spark, sf_dir).groupBy(M.verdict().alias("verdict")).agg(F.count("*").alias("terms"))
 
