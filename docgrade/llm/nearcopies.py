@@ -4,16 +4,19 @@ Each document's shingles are hashed once; the hash's top bits choose a bin and e
 least value. Empty bins borrow from a bin drawn by hashing the bin's own number again and again
 until a filled one is met. Bands of bins make the buckets in which candidates meet.
 
-In a bucket only the edges from one member, the hub, to the others are formed. Edges are confirmed
-on the full sets and turned into components. Whatever then still lies in more than one component of
-a bucket goes on: the next few members become hubs, until no two members of a bucket are left that
-neither belong together nor were compared. Equal sets are one node from the start, so exact copies
-form no pairs.
+In a bucket only the edges from one member, the hub, to the others are formed; the hub is the member
+that shares its buckets with most documents, which in a group of copies is the text that they come
+from. Edges are confirmed on the full sets and turned into components. Members of a hub's buckets
+that stayed outside its component are then held against all members of those buckets, in blocks of
+bounded size that give confirmed links alone; so no two documents of a bucket that are linked stay
+apart, and no pairs are listed. Equal sets are one node from the start, so exact copies form no
+edges at all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +30,8 @@ from .wordhash import hashes, split, windows
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 512
+#: Documents in a block that is held against another.
+NODES = 256
 _draws: list[np.ndarray] = []
 
 
@@ -123,6 +128,89 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def within(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents around the same hub that lie in different components so far.
+
+    Around each hub, those outside its component (left) meet those inside it and each other, block
+    by block; those inside are one component already and are not held against each other.
+    """
+    known = labels.select("node", "label")
+    around = stars.select("hub", "node").unionByName(stars.select("hub", F.col("hub").alias("node")).distinct())
+    around = around.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_hub = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    around = around.join(of_hub, "hub", "left").withColumn("left", F.col("label") != F.coalesce("hub_label", "hub"))
+    sizes = around.groupBy("hub").agg(F.count_if("left").alias("n_left"), F.count_if(~F.col("left")).alias("n_in"))
+    sizes = sizes.filter("n_left > 0 AND n_left + n_in > 2").select(
+        "hub", F.ceil(F.col("n_left") / NODES).cast("int").alias("left_blocks"), F.ceil(F.col("n_in") / NODES).cast("int").alias("in_blocks")
+    )
+    rows = around.join(sizes, "hub")
+    left, inside = rows.filter("left"), rows.filter("NOT left")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    one = left.withColumn("i", block("left_blocks"))
+    against_in = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("in_blocks") - 1)))
+    against_left = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+    asked = against_in.selectExpr("hub", "0 AS kind", "i", "j", "0 AS side", "node", "label")
+    asked = asked.unionByName(
+        against_left.selectExpr("hub", "1 AS kind", "least(i, k) AS i", "greatest(i, k) AS j", "CAST(i > k AS INT) AS side", "node", "label")
+    )
+    other = inside.withColumn("j", block("in_blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+    asked = asked.unionByName(other.selectExpr("hub", "0 AS kind", "i", "j", "1 AS side", "node", "label"))
+    keys = ["hub", "kind", "i", "j"]
+
+    def run(batches):
+        rows = (r for batch in batches for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist())
+        for (_, kind, i, j), own in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            nodes, labels_, values, sides = [], [], [], []
+            for r in own:
+                nodes.append(r["node"])
+                labels_.append(r["label"])
+                values.append(np.frombuffer(r["own"], np.uint64))
+                sides.append(r["side"])
+            found = merging(nodes, labels_, values, sides, percent, alone=kind == 1 and i == j)
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=SCHEMA_LINKS)
+
+    held = asked.join(sets, "node").select(*keys, "side", "node", "label", "own")
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def merging(nodes: list, labels: list, sets: list, sides: list, percent: int, alone: bool) -> list[tuple[int, int]]:
+    """Confirmed links between the two sides (or within one) that join components not yet joined here."""
+    up: dict = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    right = [k for k in range(len(nodes)) if alone or sides[k] == 1]
+    if not right:
+        return []
+    sizes = np.array([len(sets[k]) for k in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    every = np.concatenate([sets[k] for k in right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for k in range(len(nodes)):
+        if not alone and sides[k] != 0:
+            continue
+        s = sets[k]
+        a, b = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        for m in np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + sizes - both))).tolist():
+            x, y = root(labels[k]), root(labels[right[m]])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((nodes[k], nodes[right[m]]))
+    return out
+
+
+SCHEMA_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def components(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """node, label: the least node that can be reached, for every node with an edge.
 
@@ -155,50 +243,25 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sketch, drop_sketch = settle(sketches(docs, size))
     known = sketch.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     least = known.groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes, drop_classes = settle(sketch.join(least, "key", "left").select("doc_id", "n", "bands", "node"))
+    classes, _ = settle(sketch.join(least, "key", "left").select("doc_id", "n", "bands", "node"))
     drop_sketch()
-    members = classes.filter("doc_id = node").select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("bucket")
-    buckets, drop_buckets = settle(members.join(shared, "bucket").distinct())
-    sets, drop_sets = settle(sets_of(docs, buckets.select("node").distinct(), size))
-
-    links, drops = None, [drop_classes, drop_sets]
-    drop_labels = None
-    hubs = 1
-    while True:
-        # least nodes of each bucket; partly found before the shuffle, as a minimum is
-        if hubs == 1:
-            chosen = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n", "label") if "label" in buckets.columns else F.struct("node", "n", F.col("node").alias("label"))).alias("h"))
-            chosen = chosen.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-        else:
-            from pyspark.sql import Window as W
-
-            first = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-            chosen = buckets.withColumn("r", first).filter(F.col("r") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-        rows = buckets if "label" in buckets.columns else buckets.withColumn("label", F.col("node"))
-        pairs = rows.join(chosen, "bucket").filter(
-            (F.col("hub") < F.col("node"))
-            & (F.col("hub_label") != F.col("label"))
-            & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        )
-        pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        found, drop_found = settle(confirmed(pairs, sets, percent))
-        drops.append(drop_found)
-        links = found if links is None else links.unionByName(found)
-        if drop_labels:
-            drop_labels()
-        labels, drop_labels = components(links)
-        # members that were hubs have met all others; buckets within one component are done
-        left = rows.drop("label").join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        rest, drop_rest = settle(left.join(open_, "bucket"))
-        drop_buckets()
-        buckets, drop_buckets = rest, drop_rest
-        if not rest.limit(1).count():
-            break
-        hubs *= 4
+    members = classes.filter("doc_id = node").select("node", "n", F.explode("bands").alias("bucket")).distinct()
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets, drop_buckets = settle(members.join(shared, "bucket"))
+    central = buckets.groupBy("node").agg(F.sum("size").alias("score"))
+    sets, drop_sets = settle(sets_of(docs, central.select("node"), size))
+    hubs = buckets.join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "n")).alias("h"))
+    hubs = hubs.select("bucket", (-F.col("h.first")).alias("hub"), F.col("h.n").alias("hub_n"))
+    stars, drop_stars = settle(buckets.join(hubs, "bucket").filter("node <> hub").select("hub", "node", "n", "hub_n").distinct())
     drop_buckets()
+    near = stars.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    links, drop_links = settle(confirmed(near.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent))
+    first, drop_first = components(links)
+    more, drop_more = settle(within(stars, first, sets, percent))
+    drop_first()
+    labels, _ = components(links.unionByName(more))
+    for drop in (drop_sets, drop_stars, drop_links, drop_more):
+        drop()
     out = classes.join(labels, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
