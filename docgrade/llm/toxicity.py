@@ -47,7 +47,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(f"<{w}>" for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters to the word's end
     out, of = [], []
     rolling = np.zeros(len(codes), np.uint64)
@@ -58,10 +58,10 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in SIZES:
             inside = left[: len(rolling)] >= n
             mixed = (rolling[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((mixed >> np.uint64(64 - 16)).astype(np.int64) % BUCKETS)
+            out.append((mixed >> np.uint64(64 - 16)).astype(np.int32) % np.int32(BUCKETS))
             of.append(owner[: len(rolling)][inside])
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -99,9 +99,14 @@ def train(texts: list[str | None], marks: list[int], dim: int = 8, epochs: int =
     pair, count = np.unique(segment * len(index) + word, return_counts=True)
     s_of, w_of = pair // len(index), pair % len(index)
     share = count / np.bincount(segment, minlength=n_segments)[s_of]
+    # single precision and narrow integers: these are the arrays that fill the driver
     bucket, owner = subwords(list(index))
-    used, bucket = np.unique(bucket, return_inverse=True)
-    grams = 1.0 / np.bincount(owner, minlength=len(index))[owner]
+    index = range(len(index))  # the words themselves are done with
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    bucket = place[bucket]
+    grams = (1.0 / np.bincount(owner, minlength=len(index))).astype(np.float32)[owner]
 
     # an n-gram of one or two documents can only be learnt by heart
     seen_in = np.unique(np.stack([word, doc[segment]]), axis=1)
@@ -126,7 +131,7 @@ def train(texts: list[str | None], marks: list[int], dim: int = 8, epochs: int =
 
     def forward(pull: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments' and documents' probabilities, documents' losses."""
-        of_word = np.bincount(owner, grams * pull[bucket], minlength=len(index))
+        of_word = np.bincount(owner, grams * pull.astype(np.float32)[bucket], minlength=len(index))
         z = np.bincount(s_of, share * of_word[w_of], minlength=n_segments) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         quiet = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))  # log of 1 - p_document
@@ -147,7 +152,7 @@ def train(texts: list[str | None], marks: list[int], dim: int = 8, epochs: int =
         # NOISE bounds the pull of a toxic label that nothing in the text explains
         slope = (weight * ~check * np.where(y > 0, -(1 - toxic_p) / (toxic_p + NOISE), 1.0) / len(y))[doc] * p
         on_word = np.bincount(w_of, share * slope[s_of], minlength=len(index))
-        on_pull = np.bincount(bucket, grams * on_word[owner], minlength=len(used)) * live
+        on_pull = np.bincount(bucket, grams * on_word.astype(np.float32)[owner], minlength=len(used)) * live
         steps = {"vectors": np.outer(on_pull, layer) + DECAY * vectors, "layer": vectors.T @ on_pull, "bias": np.array([slope.sum()])}
         for name, value, rate in (("vectors", vectors, RATE), ("layer", layer, 1.0), ("bias", bias, 1.0)):
             speed[name] = 0.9 * speed[name] - rate * steps[name]
@@ -192,7 +197,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 2000) -> Model:
     """Learn from at most so many labelled documents of each label, drawn by a hash of the id.
 
     The bound holds at every input size; the drawn texts are used whole. Held-out rows, null labels
