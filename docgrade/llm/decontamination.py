@@ -78,9 +78,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     drop_index()
 
     again = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), F.col("text"))
-    own = again.join(found.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"])
+    # dealt by key at every size: found grows with the corpus and is never broadcast
+    own = again.join(found.select("doc_key").distinct().hint("shuffle_hash"), "doc_key").dropDuplicates(["doc_key"])
     own = own.withColumn("mark", marked(F.col("text"))).select("doc_key", template(F.col("mark")).alias("doc_t"), values(F.col("mark")).alias("doc_v"))
-    lined = found.join(own, "doc_key").join(items, "item_id")
+    lined = found.join(own.hint("shuffle_hash"), "doc_key").join(items, "item_id")
     # along the alignment: (template token of the item, whether the document has it, both values)
     lined = lined.withColumn(
         "line",
@@ -115,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_tokens, slots_consistent for every row that holds an item."""
     rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("doc_key"))
     found, _ = settle(leaks(docs, benchmark))
-    return rows.join(found, "doc_key").select(
+    return rows.join(found.hint("shuffle_hash"), "doc_key").select(
         "doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), "slots_consistent"
     )
 
@@ -124,4 +125,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a leaked item, all columns kept; null texts stay."""
     found, _ = settle(leaks(docs, benchmark).select("doc_key").distinct())
     keyed = docs.withColumn("__doc_key", F.md5(F.col("text").cast("binary")))
-    return keyed.join(found, keyed["__doc_key"] == found["doc_key"], "left_anti").drop("__doc_key")
+    return keyed.join(found.hint("shuffle_hash"), keyed["__doc_key"] == found["doc_key"], "left_anti").drop("__doc_key")
