@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units behind numbers and names inside sentences become typed placeholders. Windows of the
-resulting templates are hash-joined: all windows of each benchmark item, every third window of a
-document. A match names an alignment; along it the whole item is compared with the document, and
+Numbers, units behind numbers and names inside sentences become typed placeholders, one for each run
+of them. Windows of the resulting templates are hash-joined: all windows of each benchmark item, every
+third window of a document. A match names an alignment; along those that lie near each other the
+whole item is compared with the document, so that an added or dropped word only moves the rest, and
 the values in the slots are checked: a re-parameterised question puts the same new value wherever
 the old one stood.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import pick, settle
 
 WINDOW, STRIDE = 6, 3
+#: Beside an alignment that a window found, those so many tokens away count too, in runs of three.
+NEAR = 3
 #: Units that count as such behind a number.
 UNITS = (
     "mm cm dm m km in ft yd mi miles mile meters metres meter metre feet foot inches inch g mg kg lb lbs oz tons ton grams gram pounds pound "
@@ -22,84 +25,134 @@ UNITS = (
     "l ml liters litres liter litre gallons gallon cups cup dollars dollar cents cent euros euro usd eur percent degrees degree mph kmh kph kw kwh w v hz"
 ).split()
 
-NUMBER, NAME, UNIT = "\u0002", "\u0003", "\u0004"
-_NAMES = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{L}*\p{Ll}(?!\p{L})"
-_NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
-_UNITS = rf"(?<=\p{{N}} {{1,2}})(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
-_SIGNS = r"[$€£¥%°]"
+QUANTITY, NAME, END = "\u0002", "\u0003", "\u0005"
+# runs are possessive: a backtracking group would take a stack frame for each name of a long list
+_NAME = r"\p{Lu}\p{L}*\p{Ll}(?!\p{L})"
+_NAMES = rf"(?<=[\p{{Ll}}\p{{N}},;] ){_NAME}(?:[\s-]{{1,2}}{_NAME})*+"
+_NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
+_SIGN = r"[$€£¥%°]"
+_PART = rf"(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))?+)"
+_QUANTITIES = rf"{_PART}(?: *{_PART})*+"
 
 
-def marked(text: Column) -> Column:
-    """The text with a mark before each slot's value."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, NAME + "$0")
-    numbered = F.regexp_replace(named, _NUMBERS, f" {NUMBER}$0 ")
-    slotted = F.regexp_replace(F.regexp_replace(numbered, _UNITS, UNIT + "$0"), _SIGNS, f" {UNIT}$0 ")
-    return F.when(text.rlike(rf"\p{{N}}|{_SIGNS}"), slotted).otherwise(named)
+def plain(text: Column) -> Column:
+    """The text without the marks' own characters."""
+    marks = f"[{QUANTITY}{NAME}{END}]"
+    return F.when(text.rlike(marks), F.regexp_replace(text, marks, " ")).otherwise(text)
 
 
-def template(mark: Column) -> Column:
+def template(text: Column) -> Column:
     """Words in lower case and placeholders."""
-    bare = F.regexp_replace(mark, f"([{NUMBER}{UNIT}])[^ ]+|({NAME})\\p{{L}}+", "$1$2")
-    return F.regexp_extract_all(F.lower(bare), F.lit(f"[{NUMBER}{NAME}{UNIT}]|\\p{{L}}+"), 0)
+    bare = F.regexp_replace(F.regexp_replace(plain(text), _NAMES, NAME), _QUANTITIES, QUANTITY)
+    return F.regexp_extract_all(F.lower(bare), F.lit(f"[{QUANTITY}{NAME}]|\\p{{L}}+"), 0)
 
 
-def values(mark: Column) -> Column:
-    """As many tokens as the template has, slots with their values."""
-    return F.regexp_extract_all(F.lower(mark), F.lit(f"[{NUMBER}{UNIT}][^ ]+|{NAME}?\\p{{L}}+"), 0)
+def values(text: Column) -> Column:
+    """As many tokens as the template has, slots with their values between marks."""
+    named = F.regexp_replace(plain(text), _NAMES, f"{NAME}$0{END}")
+    marked = F.regexp_replace(named, _QUANTITIES, f"{QUANTITY}$0{END}")
+    return F.regexp_extract_all(F.lower(marked), F.lit(f"[{QUANTITY}{NAME}][^{END}]*{END}|\\p{{L}}+"), 0)
+
+
+def placed(tokens: str) -> str:
+    """The template of ``values``."""
+    return f"transform({tokens}, v -> if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v))"
+
+
+def weights(tokens: str) -> str:
+    """How many names, numbers, units or words each of ``values`` stands for."""
+    return rf"transform({tokens}, v -> size(regexp_extract_all(v, r'\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))"
+
+
+def values(text: Column) -> Column:
+    """As many tokens as the template has, slots with their values between marks."""
+    named = F.regexp_replace(plain(text), _NAMES, f"{NAME}$0{END}")
+    marked = F.regexp_replace(named, _QUANTITIES, f"{QUANTITY}$0{END}")
+    return F.regexp_extract_all(F.lower(marked), F.lit(f"[{QUANTITY}{NAME}][^{END}]*{END}|\\p{{L}}+"), 0)
+
+
+def placed(tokens: str) -> str:
+    """The template of ``values``."""
+    return f"transform({tokens}, v -> if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v))"
+
+
+def weights(tokens: str) -> str:
+    """How many names, numbers, units or words each of ``values`` stands for."""
+    return f"transform({tokens}, v -> size(regexp_extract_all(v, r'\\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))".replace("\\\\", "\\")
+
+
+def value(v: str) -> str:
+    """A slot's value: the numbers of a quantity, however its units are written, or the name."""
+    return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), regexp_replace({v}, r'[\s-]+', ' '))"
 
 
 def windowed(rows: DataFrame, tokens: str, stride: int, *keep: str) -> DataFrame:
     """Rows (keep..., at, hash) for every ``stride``-th window."""
-    long_enough = rows.filter(F.size(tokens) >= WINDOW)
-    hashed = F.expr(
-        f"transform(sequence(0, size({tokens}) - {WINDOW}, {stride}), i -> named_struct('at', i, 'hash', xxhash64(slice({tokens}, i + 1, {WINDOW}))))"
+    # no filter on the size: Spark would push it down and take the text apart twice
+    starts = f"if(size({tokens}) >= {WINDOW}, sequence(0, size({tokens}) - {WINDOW}, {stride}), array())"
+    hashed = F.expr(f"transform({starts}, i -> named_struct('at', i, 'hash', xxhash64(slice({tokens}, i + 1, {WINDOW}))))")
+    return rows.select(*keep, F.inline(hashed))
+
+
+def compared() -> Column:
+    """For each choice of alignments, the item's tokens: (t, weight, same, was, now).
+
+    A choice is one alignment, or all from one on that lie no further away than the item is long; with
+    the latter go the neighbours of each. Where several fit a token, that which fits most around it counts.
+    """
+    same = "get(doc_t, {i} + {x}) = get(item_t, {i})"
+    run = " OR ".join("(" + " AND ".join(same.format(i=f"(i + {a + k})", x="x") for k in range(3)) + ")" for a in (-2, -1, 0))
+    alone = "transform(shifts, s -> named_struct('found', array(s), 'all', array(s)))"
+    together = (
+        "transform(array_distinct(transform(shifts, s -> filter(shifts, x -> x BETWEEN s AND s + size(item_t)))), g -> "
+        f"named_struct('found', g, 'all', array_distinct(flatten(transform(g, s -> sequence(s - {NEAR}, s + {NEAR}))))))"
     )
-    return long_enough.select(*keep, F.inline(hashed))
+    fits = f"filter(g.all, x -> {same.format(i='i', x='x')} AND (array_contains(g.found, x) OR {run}))"
+    around = f"size(filter(sequence(i - {NEAR}, i + {NEAR}), j -> {same.format(i='j', x='x')}))"
+    best = f"array_max(transform({fits}, x -> named_struct('around', {around}, 'x', x))).x"
+    line = f"transform(transform(item_t, (t, i) -> named_struct('t', t, 'i', i, 'x', {best})), y -> named_struct('t', y.t, 'weight', get(item_w, y.i), 'same', y.x IS NOT NULL, 'was', get(item_v, y.i), 'now', get(doc_v, y.i + y.x)))"
+    return F.expr(f"transform(concat({alone}, {together}), g -> {line})")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = 8) -> DataFrame:
     """doc_key, item_id, matched, item_tokens, slots_consistent: one row for each leaked item of a text.
 
-    doc_key is the text's md5. An item counts as leaked where at least ``share`` of its template's
-    tokens and ``least`` of them stand in the document in one alignment, and its slots' values map
-    consistently; without that, nine tenths of its words must match. Matches of eight tokens or more
-    in a row are always found. Null and empty texts and items leak nothing; an item of fewer tokens
-    than ``least`` is too short to tell and is not looked for. Repeated items each count.
+    doc_key is the text's md5. Names, numbers, units and words are counted. An item counts as leaked
+    where at least ``share`` of them and ``least`` of them stand in the document along alignments near
+    each other, and its slots' values map consistently; without that, nine tenths of its words must
+    match. Matches of eight tokens or more in a row are always found. Null and empty texts and items
+    leak nothing; an item of fewer than ``least`` is too short to tell and is not looked for. Repeated
+    items each count.
     """
-    items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").withColumn("mark", marked(F.col("text")))
-    items = items.select("item_id", template(F.col("mark")).alias("item_t"), values(F.col("mark")).alias("item_v"))
-    items = items.filter(F.size("item_t") >= least)
+    items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").select("item_id", values(F.col("text")).alias("item_v"))
+    items = items.select("item_id", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(weights("item_v")).alias("item_w"))
+    items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)")).filter(F.col("item_tokens") >= least)
     # written, so that Spark knows its size when it chooses how to join
     index, drop_index = settle(windowed(items, "item_t", 1, "item_id").select("item_id", F.col("at").alias("item_at"), "hash").distinct())
     texts = pick(docs, "text").filter("text IS NOT NULL")
-    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), template(marked(F.col("text"))).alias("tokens"))
+    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), template(F.col("text")).alias("tokens"))
     met = windowed(keyed, "tokens", STRIDE, "doc_key").join(index, "hash")
-    found, drop_found = settle(met.groupBy("doc_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits")))
+    found, drop_found = settle(met.groupBy("doc_key", "item_id").agg(F.sort_array(F.collect_set(F.col("at") - F.col("item_at"))).alias("shifts")))
     drop_index()
 
     again = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), F.col("text"))
     # dealt by key at every size: found grows with the corpus and is never broadcast
     own = again.join(found.select("doc_key").distinct().hint("shuffle_hash"), "doc_key").dropDuplicates(["doc_key"])
-    own = own.withColumn("mark", marked(F.col("text"))).select("doc_key", template(F.col("mark")).alias("doc_t"), values(F.col("mark")).alias("doc_v"))
+    own = own.select("doc_key", values(F.col("text")).alias("doc_v"))
+    own = own.select("doc_key", "doc_v", F.expr(placed("doc_v")).alias("doc_t"))
     lined = found.join(own.hint("shuffle_hash"), "doc_key").join(items, "item_id")
-    # along the alignment: (template token of the item, whether the document has it, both values)
-    lined = lined.withColumn(
-        "line",
-        F.expr(
-            "transform(item_t, (t, i) -> named_struct('t', t, 'same', i + shift >= 0 AND i + shift < size(doc_t) AND get(doc_t, i + shift) = t,"
-            " 'was', get(item_v, i), 'now', get(doc_v, i + shift)))"
-        ),
-    )
+    lined = lined.select("doc_key", "item_id", "item_tokens", F.explode(compared()).alias("line"))
     same = "filter(line, x -> x.same)"
-    slots = f"filter(line, x -> x.same AND x.t IN ('{NUMBER}', '{NAME}', '{UNIT}'))"
-    words = f"filter(line, x -> x.t NOT IN ('{NUMBER}', '{NAME}', '{UNIT}'))"
+    slots = f"filter(line, x -> x.same AND x.t IN ('{QUANTITY}', '{NAME}'))"
+    words = f"filter(line, x -> x.t NOT IN ('{QUANTITY}', '{NAME}'))"
+    was, now = value("x.was"), value("x.now")
     judged = lined.select(
         "doc_key",
         "item_id",
-        F.expr(f"size({same})").alias("matched"),
-        F.size("item_t").alias("item_tokens"),
+        F.expr(f"aggregate({same}, 0, (a, x) -> a + x.weight)").alias("matched"),
+        "item_tokens",
         F.expr(
-            f"size(array_distinct(transform({slots}, x -> named_struct('was', x.was, 'now', x.now)))) = size(array_distinct(transform({slots}, x -> x.was)))"
+            f"size(array_distinct(transform({slots}, x -> named_struct('was', {was}, 'now', {now})))) = size(array_distinct(transform({slots}, x -> {was})))"
         ).alias("slots_consistent"),
         F.expr(f"size(filter({words}, x -> x.same)) / greatest(size({words}), 1)").alias("words_share"),
     )

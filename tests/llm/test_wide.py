@@ -152,6 +152,27 @@ def test_decontamination(spark):
     assert decontamination.clean(d, b.limit(0)).count() == len(docs)
 
 
+def leaked(spark, items, docs):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(x.doc_id, x.item_id) for x in decontamination.contaminated(d, b).collect()}
+
+
+def test_decontamination_moved_words(spark):
+    item = "every morning old Tom bakes fresh bread rolls and then he gave 12 loaves to his neighbours who live across the long quiet street near the river for only $12 each week"
+    docs = [
+        item,
+        item.replace("gave 12 loaves", "gave away 12 loaves"),
+        item.replace("Tom", "Mary Ann"),
+        item.replace("$12", "12 dollars"),
+        item.replace("loaves to his", "loaves right away to his").replace("quiet street", "street"),
+        "every morning old Tom bakes fresh bread rolls and then nothing else was done by anyone at all in the town that whole week or after",
+    ]
+    assert leaked(spark, [item], docs) == {(i, 0) for i in range(5)}
+    # names without end take no stack
+    assert leaked(spark, [item], ["met " + "Tom Ann " * 30_000 + "1,2," * 30_000 + item]) == {(0, 0)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
