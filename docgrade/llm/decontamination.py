@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units behind numbers and names inside sentences become typed placeholders, one for each run
-of them. Windows of the resulting templates are hash-joined: all windows of each benchmark item, every
-third window of a document. A match names an alignment; along those that lie near each other the
+of them. Windows of the resulting templates are hash-joined, all of an item
+and all of a document. A match names an alignment; along those that lie near each other the
 whole item is compared with the document, so that an added or dropped word only moves the rest, and
 the values in the slots are checked: a re-parameterised question puts the same new value wherever
 the old one stood.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, settle
 
-WINDOW, STRIDE = 6, 3
+WINDOW = 6
 #: Beside an alignment that a window found, those so many tokens away count too, in runs of three.
 NEAR = 3
 #: Units that count as such behind a number.
@@ -31,7 +31,7 @@ _NAME = r"\p{Lu}\p{L}*\p{Ll}(?!\p{L})"
 _NAMES = rf"(?<=[\p{{Ll}}\p{{N}},;] ){_NAME}(?:[\s-]{{1,2}}{_NAME})*+"
 _NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _SIGN = r"[$€£¥%°]"
-_PART = rf"(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))?+)"
+_PART = rf"(?=[$%0-9\u00a3-\x{{10ffff}}])(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))?+)"
 _QUANTITIES = rf"{_PART}(?: *{_PART})*+"
 
 
@@ -86,12 +86,13 @@ def value(v: str) -> str:
     return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), regexp_replace({v}, r'[\s-]+', ' '))"
 
 
-def windowed(rows: DataFrame, tokens: str, stride: int, *keep: str) -> DataFrame:
-    """Rows (keep..., at, hash) for every ``stride``-th window."""
+def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
+    """Rows (keep..., at, hash) for every window."""
     # no filter on the size: Spark would push it down and take the text apart twice
-    starts = f"if(size({tokens}) >= {WINDOW}, sequence(0, size({tokens}) - {WINDOW}, {stride}), array())"
-    hashed = F.expr(f"transform({starts}, i -> named_struct('at', i, 'hash', xxhash64(slice({tokens}, i + 1, {WINDOW}))))")
-    return rows.select(*keep, F.inline(hashed))
+    both = "(a, b) -> xxhash64(a, b)"
+    n = rows.select(*keep, F.size(tokens).alias("n"), F.expr(f"zip_with({tokens}, slice({tokens}, 2, size({tokens})), {both})").alias("two"))
+    six = f"zip_with(zip_with(two, slice(two, 3, n), {both}), slice(two, 5, n), {both})"
+    return n.select(*keep, F.posexplode(F.expr(f"slice({six}, 1, greatest(n - {WINDOW - 1}, 0))")).alias("at", "hash"))
 
 
 def compared() -> Column:
@@ -120,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     doc_key is the text's md5. Names, numbers, units and words are counted. An item counts as leaked
     where at least ``share`` of them and ``least`` of them stand in the document along alignments near
     each other, and its slots' values map consistently; without that, nine tenths of its words must
-    match. Matches of eight tokens or more in a row are always found. Null and empty texts and items
+    match. Six template tokens in a row are always found. Null and empty texts and items
     leak nothing; an item of fewer than ``least`` is too short to tell and is not looked for. Repeated
     items each count.
     """
@@ -128,10 +129,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     items = items.select("item_id", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(weights("item_v")).alias("item_w"))
     items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)")).filter(F.col("item_tokens") >= least)
     # written, so that Spark knows its size when it chooses how to join
-    index, drop_index = settle(windowed(items, "item_t", 1, "item_id").select("item_id", F.col("at").alias("item_at"), "hash").distinct())
+    index, drop_index = settle(windowed(items, "item_t", "item_id").select("item_id", F.col("at").alias("item_at"), "hash").distinct())
     texts = pick(docs, "text").filter("text IS NOT NULL")
     keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), template(F.col("text")).alias("tokens"))
-    met = windowed(keyed, "tokens", STRIDE, "doc_key").join(index, "hash")
+    met = windowed(keyed, "tokens", "doc_key").join(index, "hash")
     found, drop_found = settle(met.groupBy("doc_key", "item_id").agg(F.sort_array(F.collect_set(F.col("at") - F.col("item_at"))).alias("shifts")))
     drop_index()
 

@@ -173,6 +173,13 @@ def test_decontamination_moved_words(spark):
     assert leaked(spark, [item], ["met " + "Tom Ann " * 30_000 + "1,2," * 30_000 + item]) == {(0, 0)}
 
 
+def test_decontamination_at_every_offset(spark):
+    item = "we keep seven small boats quietly behind an old barn close by water"
+    texts = [item, item.replace("behind an", "before one")]
+    docs = [" ".join(["aa", "bb", "cc"][:n] + [text, "dd"]) for text in texts for n in range(4)]
+    assert leaked(spark, [item], docs) == {(i, 0) for i in range(8)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
