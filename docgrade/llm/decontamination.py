@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units behind numbers and names inside sentences become typed placeholders, one for each run
+Numbers, units behind numbers and names become typed placeholders, one for each run
 of them. Windows of the resulting templates are hash-joined, all of an item
 and all of a document. A match names an alignment; along those that lie near each other the
 whole item is compared with the document, so that an added or dropped word only moves the rest, and
@@ -25,10 +25,19 @@ UNITS = (
     "l ml liters litres liter litre gallons gallon cups cup dollars dollar cents cent euros euro usd eur percent degrees degree mph kmh kph kw kwh w v hz"
 ).split()
 
+#: Words that open sentences and are no names there; every other capitalised word is taken for one.
+OPENERS = (
+    "a an the this that these those he she it we you they his her its our their my your i in on at by of for from to with and but or nor so if when while "
+    "after before then there here how what which who whose where why how many each every all some any no not as is are was were do does did can "
+    "le la les un une des du de il elle nous vous ils elles ce cette ces et mais ou si quand comment quel quelle combien pourquoi dans sur pour avec "
+    "der die das ein eine einen einem einer den dem er sie es wir ihr und aber oder wenn wie was wer wo warum viele im am auf mit von zu "
+    "el los las una unos unas ella nosotros ellos ellas y pero o cuando como que cual cuanto cuantos cuánto cuántos qué cómo por en con"
+).split()
+
 QUANTITY, NAME, END = "\u0002", "\u0003", "\u0005"
 # runs are possessive: a backtracking group would take a stack frame for each name of a long list
-_NAME = r"\p{Lu}\p{L}*\p{Ll}(?!\p{L})"
-_NAMES = rf"(?<=[\p{{Ll}}\p{{N}},;] ){_NAME}(?:[\s-]{{1,2}}{_NAME})*+"
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join(sorted(w.title() for w in OPENERS))})(?!\p{{L}}))\p{{L}}++(?<=\p{{Ll}})"
+_NAMES = rf"{_NAME}(?:[\s-]{{1,2}}{_NAME})*+"
 _NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _SIGN = r"[$€£¥%°]"
 _PART = rf"(?=[$%0-9\u00a3-\x{{10ffff}}])(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))?+)"
@@ -59,6 +68,11 @@ def placed(tokens: str) -> str:
     return f"transform({tokens}, v -> if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v))"
 
 
+def bare(tokens: str) -> str:
+    """``values`` without marks."""
+    return f"transform({tokens}, v -> translate(v, '{QUANTITY}{NAME}{END}', ''))"
+
+
 def weights(tokens: str) -> str:
     """How many names, numbers, units or words each of ``values`` stands for."""
     return rf"transform({tokens}, v -> size(regexp_extract_all(v, r'\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))"
@@ -76,6 +90,11 @@ def placed(tokens: str) -> str:
     return f"transform({tokens}, v -> if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v))"
 
 
+def bare(tokens: str) -> str:
+    """``values`` without marks."""
+    return f"transform({tokens}, v -> translate(v, '{QUANTITY}{NAME}{END}', ''))"
+
+
 def weights(tokens: str) -> str:
     """How many names, numbers, units or words each of ``values`` stands for."""
     return f"transform({tokens}, v -> size(regexp_extract_all(v, r'\\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))".replace("\\\\", "\\")
@@ -83,7 +102,7 @@ def weights(tokens: str) -> str:
 
 def value(v: str) -> str:
     """A slot's value: the numbers of a quantity, however its units are written, or the name."""
-    return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), regexp_replace({v}, r'[\s-]+', ' '))"
+    return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), trim(regexp_replace({v}, r'[{QUANTITY}{NAME}{END}\s-]+', ' ')))"
 
 
 def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
@@ -95,13 +114,20 @@ def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
     return n.select(*keep, F.posexplode(F.expr(f"slice({six}, 1, greatest(n - {WINDOW - 1}, 0))")).alias("at", "hash"))
 
 
+def read_twice(items: DataFrame) -> DataFrame:
+    """The items' windows with names as placeholders, and with single names as the words they may be."""
+    words = items.withColumn("item_t", F.expr(rf"zip_with(item_v, item_p, (v, p) -> if(v rlike r'^{NAME}\p{{L}}+{END}$', p, if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v)))"))
+    return windowed(items, "item_t", "item_id").unionByName(windowed(words, "item_t", "item_id"))
+
+
 def compared() -> Column:
     """For each choice of alignments, the item's tokens: (t, weight, same, was, now).
 
     A choice is one alignment, or all from one on that lie no further away than the item is long; with
-    the latter go the neighbours of each. Where several fit a token, that which fits most around it counts.
+    the latter go the neighbours of each. Tokens are the same by their template or by their words, as a name
+    may stand where the other text has a small letter. Where several fit a token, that which fits most around it counts.
     """
-    same = "get(doc_t, {i} + {x}) = get(item_t, {i})"
+    same = "(get(doc_t, {i} + {x}) = get(item_t, {i}) OR get(doc_p, {i} + {x}) = get(item_p, {i}))"
     run = " OR ".join("(" + " AND ".join(same.format(i=f"(i + {a + k})", x="x") for k in range(3)) + ")" for a in (-2, -1, 0))
     alone = "transform(shifts, s -> named_struct('found', array(s), 'all', array(s)))"
     together = (
@@ -126,10 +152,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     items each count.
     """
     items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").select("item_id", values(F.col("text")).alias("item_v"))
-    items = items.select("item_id", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(weights("item_v")).alias("item_w"))
+    items = items.select("item_id", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(bare("item_v")).alias("item_p"), F.expr(weights("item_v")).alias("item_w"))
     items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)")).filter(F.col("item_tokens") >= least)
     # written, so that Spark knows its size when it chooses how to join
-    index, drop_index = settle(windowed(items, "item_t", "item_id").select("item_id", F.col("at").alias("item_at"), "hash").distinct())
+    index, drop_index = settle(read_twice(items).select("item_id", F.col("at").alias("item_at"), "hash").distinct())
     texts = pick(docs, "text").filter("text IS NOT NULL")
     keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), template(F.col("text")).alias("tokens"))
     met = windowed(keyed, "tokens", "doc_key").join(index, "hash")
@@ -140,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     # dealt by key at every size: found grows with the corpus and is never broadcast
     own = again.join(found.select("doc_key").distinct().hint("shuffle_hash"), "doc_key").dropDuplicates(["doc_key"])
     own = own.select("doc_key", values(F.col("text")).alias("doc_v"))
-    own = own.select("doc_key", "doc_v", F.expr(placed("doc_v")).alias("doc_t"))
+    own = own.select("doc_key", "doc_v", F.expr(placed("doc_v")).alias("doc_t"), F.expr(bare("doc_v")).alias("doc_p"))
     lined = found.join(own.hint("shuffle_hash"), "doc_key").join(items, "item_id")
     lined = lined.select("doc_key", "item_id", "item_tokens", F.explode(compared()).alias("line"))
     same = "filter(line, x -> x.same)"

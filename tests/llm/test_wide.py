@@ -180,6 +180,14 @@ def test_decontamination_at_every_offset(spark):
     assert leaked(spark, [item], docs) == {(i, 0) for i in range(8)}
 
 
+def test_decontamination_opening_names(spark):
+    item = "Tom has 12 apples. Sara gives him 5. Tom eats 3. How many remain?"
+    told = item.replace("Tom", "Ann").replace("Sara", "Mia").replace("12", "20")
+    docs = [pre + told for pre in ("", "so ", "so it ", "so it goes: ", "(", "one line\n", "\u201c")]
+    docs += [item.lower(), "Tom has 12 apples. Nothing else is told here. They went home and many years went by."]
+    assert leaked(spark, [item], docs) == {(i, 0) for i in range(8)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
