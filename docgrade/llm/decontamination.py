@@ -44,10 +44,15 @@ _PART = rf"(?=[$%0-9\u00a3-\x{{10ffff}}])(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(s
 _QUANTITIES = rf"{_PART}(?: *{_PART})*+"
 
 
+#: Letters of scripts that put no blanks between words: Thai, Lao, Burmese, Khmer, Kana, Han.
+_UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}&&\p{L}]"
+
+
 def plain(text: Column) -> Column:
-    """The text without the marks' own characters."""
+    """The text without the marks' own characters; in scripts without blanks each character is a word."""
     marks = f"[{QUANTITY}{NAME}{END}]"
-    return F.when(text.rlike(marks), F.regexp_replace(text, marks, " ")).otherwise(text)
+    spaced = F.regexp_replace(F.regexp_replace(text, marks, " "), _UNSPACED, " $0 ")
+    return F.when(text.rlike(rf"[{QUANTITY}{NAME}{END}\u0e00-\x{{10ffff}}]"), spaced).otherwise(text)
 
 
 def template(text: Column) -> Column:
@@ -105,6 +110,38 @@ def value(v: str) -> str:
     return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), trim(regexp_replace({v}, r'[{QUANTITY}{NAME}{END}\s-]+', ' ')))"
 
 
+def exact(text: Column) -> Column:
+    """Words, numbers and signs in lower case as they stand, for items too short for anything else."""
+    return F.regexp_extract_all(F.lower(plain(text)), F.lit(rf"{_NUMBER}|{_SIGN}|\p{{L}}+"), 0)
+
+
+def stretches(rows: DataFrame, tokens: str, lengths: list[int], *keep: str) -> DataFrame:
+    """Rows (keep..., at, length, words) for every stretch of so many tokens."""
+    each = [
+        f"transform(if(size({tokens}) >= {n}, sequence(0, size({tokens}) - {n}), array()), i -> named_struct('at', i, 'length', {n}, 'words', array_join(slice({tokens}, i + 1, {n}), ' ')))"
+        for n in lengths
+    ]
+    return rows.select(*keep, F.inline(F.expr(f"concat({', '.join(each)})")))
+
+
+def short_leaks(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of items (item_id, item_e) that are looked for word for word, with all of their values.
+
+    One or two words are everyday speech: they leak only where they are the whole text.
+    """
+    lengths = [x[0] for x in items.select(F.size("item_e").alias("n")).filter("n > 0").distinct().orderBy("n").collect()]
+    if not lengths:
+        none = keyed.select("doc_key", F.lit(0).alias("matched")).limit(0).join(items.select("item_id").limit(0))
+        return none.select("doc_key", "item_id", "matched", F.col("matched").alias("item_tokens"), F.lit(True).alias("slots_consistent"))
+    sought = items.select("item_id", F.array_join("item_e", " ").alias("words"), F.size("item_e").alias("length"))
+    texts = keyed.select("doc_key", exact(F.col("text")).alias("tokens"))
+    long = [n for n in lengths if n > 2]
+    whole = texts.select("doc_key", F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length")).filter("length <= 2")
+    places = stretches(texts, "tokens", long, "doc_key").select("doc_key", "words", "length").unionByName(whole) if long else whole
+    met = places.join(sought, ["words", "length"]).select("doc_key", "item_id", "length").distinct()
+    return met.select("doc_key", "item_id", F.col("length").alias("matched"), F.col("length").alias("item_tokens"), F.lit(True).alias("slots_consistent"))
+
+
 def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
     """Rows (keep..., at, hash) for every window."""
     # no filter on the size: Spark would push it down and take the text apart twice
@@ -147,13 +184,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     doc_key is the text's md5. Names, numbers, units and words are counted. An item counts as leaked
     where at least ``share`` of them and ``least`` of them stand in the document along alignments near
     each other, and its slots' values map consistently; without that, nine tenths of its words must
-    match. Six template tokens in a row are always found. Null and empty texts and items
-    leak nothing; an item of fewer than ``least`` is too short to tell and is not looked for. Repeated
-    items each count.
+    match. Six template tokens in a row are always found. An item of fewer than ``least``, or of
+    fewer template tokens than a window, is looked for word for word. Null and empty texts and items
+    leak nothing. Repeated items each count.
     """
-    items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").select("item_id", values(F.col("text")).alias("item_v"))
-    items = items.select("item_id", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(bare("item_v")).alias("item_p"), F.expr(weights("item_v")).alias("item_w"))
-    items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)")).filter(F.col("item_tokens") >= least)
+    items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").select("item_id", "text", values(F.col("text")).alias("item_v"))
+    items = items.select("item_id", "text", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(bare("item_v")).alias("item_p"), F.expr(weights("item_v")).alias("item_w"))
+    items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)"))
+    long = (F.col("item_tokens") >= least) & (F.size("item_t") >= WINDOW)
+    short = items.filter(~long).select("item_id", exact(F.col("text")).alias("item_e"))
+    items = items.filter(long).drop("text")
     # written, so that Spark knows its size when it chooses how to join
     index, drop_index = settle(read_twice(items).select("item_id", F.col("at").alias("item_at"), "hash").distinct())
     texts = pick(docs, "text").filter("text IS NOT NULL")
@@ -189,7 +229,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
         & (F.col("slots_consistent") | (F.col("words_share") >= 0.9))
     )
     best = judged.groupBy("doc_key", "item_id").agg(F.max(F.struct("matched", "slots_consistent", "item_tokens")).alias("b"))
-    return best.select("doc_key", "item_id", "b.matched", "b.item_tokens", "b.slots_consistent")
+    best = best.select("doc_key", "item_id", "b.matched", "b.item_tokens", "b.slots_consistent")
+    return best.unionByName(short_leaks(again, short))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

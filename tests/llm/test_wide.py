@@ -188,6 +188,21 @@ def test_decontamination_opening_names(spark):
     assert leaked(spark, [item], docs) == {(i, 0) for i in range(8)}
 
 
+def test_decontamination_short_and_unspaced(spark):
+    capital, chinese = "What is the capital city of France?", "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u5ea7\u57ce\u5e02\u5462"
+    items = [capital, chinese, "short one", "Ann Mary Tom Sara Mia Bob Joe Sue"]
+    docs = [
+        f"He asked: {capital} Nobody knew.",
+        capital.replace("France", "Spain"),
+        f"\u4ed6\u95ee{chinese}\u6211",
+        "a short one",
+        "Short one!",
+        f"with {items[3]} again",
+        capital.lower() + " " + capital,
+    ]
+    assert leaked(spark, items, docs) == {(0, 0), (2, 1), (4, 2), (5, 3), (6, 0)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
