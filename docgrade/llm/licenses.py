@@ -93,20 +93,20 @@ class Automaton:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    """A leading replaceable region is left out: every place has some words before it."""
+    """A leading replaceable region may be left out, as may one behind optional regions alone: every place has some words before it."""
     a = Automaton(label)
     at, opened = a.state(), []
     parts = re.findall(r"<<[^>]*>>|[^\s<]+", markup)
-    started = False
+    mandatory = False
     for p in parts:
         if p == "<<optional>>":
             opened.append(at)
         elif p == "<<end>>":
             a.skip[opened.pop()].append(at)
         elif m := re.fullmatch(r"<<var:(\d+)>>", p):
-            if not started:
+            if at == 0:
                 continue
-            ends = []
+            leading, ends = not mandatory and not opened, []
             for _ in range(int(m[1])):
                 after = a.state()
                 a.free[at] = after
@@ -114,8 +114,10 @@ def compile_template(label: str, markup: str) -> Automaton:
                 ends.append(after)
             for e in ends[:-1]:
                 a.skip[e].append(at)
+            if leading:
+                a.skip[0].append(at)
         else:
-            started = True
+            mandatory = mandatory or not opened
             after = a.state()
             a.step[at][p.encode()] = after
             at = after

@@ -108,6 +108,16 @@ def test_pii_adds_and_redacts(spark, odd):
     assert [tuple(r) for r in pii.redacted(docs).orderBy("doc_id").collect()] == [(1, "[EMAIL]", 7), (2, None, None)]
 
 
+def test_licenses_leading_optional():
+    s = licenses.Scanner()
+    tail = "is free software licensed under the terms of the MIT license"
+    for text in (f"Foo {tail}", f"This small program {tail}", "Foo is licensed under the MIT license"):
+        assert s.scan(text)["labels"] == "mit"
+    assert s.scan("Foo is free software under the terms of the MIT license")["labels"] == ""
+    a = licenses.compile_template("x", "<<optional>> a <<end>> <<optional>> b <<end>> <<var:2>> c d")
+    assert a.starts() == {b"a", b"b", b"c"} and a.match([b"c", b"d"], 0) == 2 and a.match([b"a", b"d"], 0) is None
+
+
 def test_licenses(spark, odd):
     s = licenses.Scanner()
     got = s.scan("Under the MIT-license; APACHE license, version 2.0! under the mit license")
