@@ -9,6 +9,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own removal of shuffle files when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text that one step of a Python worker holds at once.
 CHUNK_CHARS = 4_000_000
 
@@ -76,32 +79,70 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns _c0, _c1 ... and the place of each exact name (the first, if it repeats).
+
+    Safe where names differ only in case; ``named`` gives the names back.
+    """
+    places = {c: f"_c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), places
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns _c0, _c1 ... under their own names."""
+    return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. A temporary one only in local mode where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         at = context._jsc.sc().getCheckpointDir()
         if at.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: a cluster's executors share no temporary folder")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="docgrade-"))
             at = context._jsc.sc().getCheckpointDir()
         found = at.get()
     return found.rstrip("/")
 
 
+#: Tables written by ``settle`` and not removed yet; those that a result still reads go when the driver ends.
+_left: dict[str, Callable[[], None]] = {}
+
+
+@atexit.register
+def remove_left() -> None:
+    for drop in list(_left.values()):
+        try:
+            drop()
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing.
 
-    The second value removes the files, for tables that nothing reads any more.
+    The second value removes the files, for tables that nothing reads any more; what is never removed
+    goes when the driver ends. Columns are written by place, so their names may clash. Shuffle files
+    of the write itself are removed with it: the written table stands for them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that nothing needs any more
+    flat, _ = by_place(df)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        flat.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
     def drop() -> None:
+        _left.pop(path, None)
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    return spark.read.schema(df.schema).parquet(path), drop
+    _left[path] = drop
+    return named(spark.read.schema(flat.schema).parquet(path), df.columns), drop

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontamination, language, licenses, nearcopies, packing, pii, substrings, topk, toxicity
 from .common import table
@@ -35,8 +36,7 @@ def tokenizer_path() -> str:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return topk.topk(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+    return topk.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Toxicity: a bag of subword vectors, averaged, into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams, so a misspelling that was
-never seen still shares most of its vectors with the word it hides. Words are averaged over short
-segments and each segment goes through the linear layer; a document is toxic if any segment is,
-``p = 1 - prod(1 - p_segment)``, and that product is what the training loss is taken over. Without
-segments, one insult in a text of ten thousand words would vanish in the average.
+never seen still shares most of its vectors with the word it hides. A segment's vector is the mean
+of its words', and a layer of two columns, clean and toxic, turns it into a softmax. Vectors and
+layer start at random and are fitted together by Adagrad on the documents' log loss. A document is
+as toxic as its most toxic segment: averaged over ten thousand words one insult would vanish.
+
+Training starts from the plain average over all segments of a document and sharpens, epoch by
+epoch, towards its most toxic one; clean documents speak for all of their segments throughout.
 """
 
 from __future__ import annotations
@@ -14,32 +17,53 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick
+from .common import by_place, map_rows, named, pick
 
 BUCKETS = 1 << 16
 SEGMENT = 8
 SIZES = (3, 4, 5)
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 CACHE = 400_000
-#: Step size, weight decay, bound on a label's pull, weight of toxic labels in the loss, smoothing of the start.
-RATE, DECAY, NOISE, TOXIC_WEIGHT, PRIOR = 2000.0, 1e-6, 0.1, 0.4, 0.02
+DIM = 10
+#: An n-gram of fewer documents can only be learnt by heart; its vector stays zero.
+LEAST_DOCS = 4
+RATE, BATCH = 0.5, 96
+#: How sharply each epoch picks a document's most toxic segments.
+SHARP = (0.0, 0.0, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 16.0, 16.0, 16.0)
+#: Weight of toxic documents in the loss, and the share of them assumed when scores are calibrated.
+TOXIC_WEIGHT = 0.5
 
 
 @dataclass(frozen=True)
 class Model:
-    """``pull[b]`` is the linear layer applied to the vector of n-gram bucket b."""
+    """Vectors by n-gram bucket, the layer's two columns (clean, toxic) and their biases."""
+
+    vectors: np.ndarray
+    layer: np.ndarray
+    bias: np.ndarray
+
+    @property
+    def lean(self) -> float:
+        return float(self.bias[1] - self.bias[0])
+
+    def pull(self) -> np.ndarray:
+        """Each bucket's share of the toxic column's lead over the clean one: all steps up to the softmax are linear."""
+        return self.vectors @ (self.layer[:, 1] - self.layer[:, 0])
+
 
-    pull: np.ndarray
-    bias: float
+def blank() -> Model:
+    """What is learnt from nothing, or from one label alone: every text scores the same, near zero."""
+    return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([8.0, 0.0]))
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """The logit share of each word."""
-        bucket, word = subwords(words)
-        n = np.bincount(word, minlength=len(words))
-        return np.bincount(word, self.pull[bucket], minlength=len(words)) / np.maximum(n, 1)
+
+def word_logits(pull: np.ndarray, words: list[str]) -> np.ndarray:
+    bucket, word = subwords(words)
+    n = np.bincount(word, minlength=len(words))
+    return np.bincount(word, pull[bucket], minlength=len(words)) / np.maximum(n, 1)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,99 +97,163 @@ def clean(token: str) -> str:
     return EDGE.sub("", token)
 
 
-def train(texts: list[str | None], marks: list[int], dim: int = 8, epochs: int = 40, seed: int = 7) -> Model:
-    """Fit the n-gram vectors and the linear layer together, by Adam on the documents' log loss.
+def runs(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin."""
+    return np.cumsum(sizes) - sizes
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs with these starts and sizes, one run after the other."""
+    return np.repeat(starts - runs(sizes), sizes) + np.arange(sizes.sum())
+
+
+def means(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean of each run of rows; no run is empty."""
+    return np.add.reduceat(rows, runs(sizes), axis=0) / sizes[:, None].astype(rows.dtype)
+
+
+@dataclass
+class Bags:
+    """Documents as words and words as n-grams, in flat arrays."""
+
+    words: list[np.ndarray]  # by document, the numbers of its words
+    grams: np.ndarray  # by word, its n-grams, one word after the other
+    n_grams: np.ndarray
+    live: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Bags:
+        index: dict[str, int] = {}
+        words = [np.array([index.setdefault(w, len(index)) for w in (clean(t) for t in tokens(text)) if w], np.int32) for text in texts]
+        bucket, owner = subwords(list(index))
+        order = np.argsort(owner, kind="stable")
+        grams, n_grams = bucket[order], np.bincount(owner, minlength=len(index))
+        docs_of_gram = np.zeros(BUCKETS, np.int32)
+        for own in words:
+            if len(own):
+                some = np.unique(own)
+                docs_of_gram[np.unique(grams[spread(runs(n_grams)[some], n_grams[some])] if len(some) < 50_000 else grams)] += 1
+        return cls(words, grams, n_grams, docs_of_gram >= LEAST_DOCS)
+
+    def batch(self, docs: np.ndarray) -> dict:
+        """The distinct words of some documents and how words, segments and documents follow from them."""
+        every = np.concatenate([self.words[d] for d in docs])
+        some, place = np.unique(every, return_inverse=True)
+        n = self.n_grams[some]
+        sizes = [np.diff(np.append(np.arange(0, len(self.words[d]), SEGMENT), len(self.words[d]))) for d in docs]
+        return {
+            "grams": self.grams[spread(self.starts[some], n)],
+            "n_grams": n,
+            "place": place,
+            "n_words": np.concatenate(sizes),
+            "n_segments": np.array([len(x) for x in sizes]),
+        }
+
+    def __post_init__(self):
+        self.starts = runs(self.n_grams)
+
+
+def forward(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of segments, and the toxic column's lead in each."""
+    of_word = means(vectors[b["grams"]], b["n_grams"])
+    segments = means(of_word[b["place"]], b["n_words"])
+    logits = segments @ layer + bias
+    return segments, logits[:, 1] - logits[:, 0]
+
+
+def softmax(lead: np.ndarray) -> np.ndarray:
+    """The toxic column's part of the softmax over both."""
+    return 1 / (1 + np.exp(-np.clip(lead, -30, 30)))
+
+
+def train(texts: list[str | None], marks: list[int], seed: int = 7) -> Model:
+    """Fit the n-gram vectors and the layer together; the epoch that does best on a fifth left out is kept.
 
     Without both labels there is nothing to learn: the model then gives every text the same score.
     """
-    y = np.array(marks, float)
+    y = np.array(marks, int)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), -8.0)
-    index: dict[str, int] = {}
-    ids, doc_of, segment_of, n_segments = [], [], [], 0
-    for d, text in enumerate(texts):
-        own = [index.setdefault(w, len(index)) for w in (clean(t) for t in tokens(text)) if w]
-        if not own:
-            continue
-        ids.append(np.array(own))
-        segment_of.append(n_segments + np.arange(len(own)) // SEGMENT)
-        k = (len(own) - 1) // SEGMENT + 1
-        doc_of.append(np.full(k, d))
-        n_segments += k
-    if not ids:
-        return Model(np.zeros(BUCKETS, np.float32), -8.0)
-    word, segment, doc = np.concatenate(ids), np.concatenate(segment_of), np.concatenate(doc_of)
-    # the segments' words as weights of distinct words, the words' n-grams as weights of buckets
-    pair, count = np.unique(segment * len(index) + word, return_counts=True)
-    s_of, w_of = pair // len(index), pair % len(index)
-    share = count / np.bincount(segment, minlength=n_segments)[s_of]
-    # single precision and narrow integers: these are the arrays that fill the driver
-    bucket, owner = subwords(list(index))
-    index = range(len(index))  # the words themselves are done with
-    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
-    place = np.zeros(BUCKETS, np.int32)
-    place[used] = np.arange(len(used))
-    bucket = place[bucket]
-    grams = (1.0 / np.bincount(owner, minlength=len(index))).astype(np.float32)[owner]
-
-    # an n-gram of one or two documents can only be learnt by heart
-    seen_in = np.unique(np.stack([word, doc[segment]]), axis=1)
-    docs_of_word = np.bincount(seen_in[0], minlength=len(index))
-    docs_of_gram = np.bincount(bucket, docs_of_word[owner], minlength=len(used))
-    live = (docs_of_gram >= 4).astype(float)
-
+        return blank()
+    bags = Bags.of(texts)
+    full = np.array([len(w) > 0 for w in bags.words])
+    if not (full & (y > 0)).any() or not (full & (y == 0)).any():
+        return blank()
     rng = np.random.default_rng(seed)
-    check = rng.random(len(y)) < 0.2 if min(y.sum(), len(y) - y.sum()) >= 10 else np.zeros(len(y), bool)
-    layer, bias = rng.normal(0, 1.0, dim), np.array([-5.0])
-    vectors = rng.normal(0, 0.05, (len(used), dim)) * live[:, None]
-    # start where the n-grams' smoothed log odds over the fitted documents point
-    mine = ~check[seen_in[1]]
-    odds = []
-    for label in (1, 0):
-        of = mine & (y[seen_in[1]] == label)
-        n = np.bincount(bucket, np.bincount(seen_in[0][of], minlength=len(index))[owner], minlength=len(used))
-        total = max((~check & (y == label)).sum(), 1)
-        odds.append(np.log((np.minimum(n, total) + PRIOR * total) / total))
-    lean = (odds[0] - odds[1]) * live
-    weight = np.where(y > 0, TOXIC_WEIGHT / y.mean(), (1 - TOXIC_WEIGHT) / (1 - y.mean()))
-
-    def forward(pull: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments' and documents' probabilities, documents' losses."""
-        of_word = np.bincount(owner, grams * pull.astype(np.float32)[bucket], minlength=len(index))
-        z = np.bincount(s_of, share * of_word[w_of], minlength=n_segments) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        quiet = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))  # log of 1 - p_document
-        toxic_p = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-9)
-        return p, toxic_p, weight * -np.log(np.where(y > 0, toxic_p, 1 - toxic_p).clip(1e-4))
-
-    grid = [(forward(c * lean, b)[2][~check].mean(), c, b) for c in (10.0, 20.0, 40.0) for b in (-5.0, -7.0, -9.0, -12.0, -16.0)]
-    _, scale, bias[0] = min(grid)
-    vectors += np.outer(scale * lean, layer / (layer @ layer))
-    speed = {k: np.zeros_like(v) for k, v in (("vectors", vectors), ("layer", layer), ("bias", bias))}
-    best, kept = np.inf, (np.zeros(len(used)), -8.0)
-    for _ in range(epochs):
-        # the chain is linear from vectors to logits, so the layer is applied to the vectors first
-        pull = vectors @ layer
-        p, toxic_p, loss = forward(pull, bias[0])
-        if (now := loss[check].mean() if check.any() else loss.mean()) < best:
-            best, kept = now, (pull, bias[0])
-        # NOISE bounds the pull of a toxic label that nothing in the text explains
-        slope = (weight * ~check * np.where(y > 0, -(1 - toxic_p) / (toxic_p + NOISE), 1.0) / len(y))[doc] * p
-        on_word = np.bincount(w_of, share * slope[s_of], minlength=len(index))
-        on_pull = np.bincount(bucket, grams * on_word.astype(np.float32)[owner], minlength=len(used)) * live
-        steps = {"vectors": np.outer(on_pull, layer) + DECAY * vectors, "layer": vectors.T @ on_pull, "bias": np.array([slope.sum()])}
-        for name, value, rate in (("vectors", vectors, RATE), ("layer", layer, 1.0), ("bias", bias, 1.0)):
-            speed[name] = 0.9 * speed[name] - rate * steps[name]
-            limit = np.abs(speed[name]).max()
-            value += speed[name] * min(1.0, 0.5 / limit if limit else 1.0)
-    pull = np.zeros(BUCKETS, np.float32)
-    pull[used] = kept[0]
-    return Model(pull, float(kept[1]))
+    check = full & (rng.random(len(y)) < 0.2) if min(y.sum(), len(y) - y.sum()) >= 20 else np.zeros(len(y), bool)
+    fit_on = np.flatnonzero(full & ~check)
+    check = np.flatnonzero(check) if check.any() else fit_on
+    share = y[fit_on].mean()
+    weight = np.where(y > 0, TOXIC_WEIGHT / max(share, 1e-9), (1 - TOXIC_WEIGHT) / max(1 - share, 1e-9))
+
+    vectors = (rng.normal(0, 1 / DIM, (BUCKETS, DIM)) * bags.live[:, None]).astype(np.float32)
+    layer = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    # Adagrad: what has moved much moves less; an n-gram's dimensions share one speed
+    seen = [np.full(BUCKETS, 1e-6, np.float32), np.full(layer.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
+    best, kept, top = np.inf, None, None
+    checks = [bags.batch(check[a : a + BATCH]) for a in range(0, len(check), BATCH)]
+    for sharp in SHARP:
+        order = rng.permutation(fit_on)
+        for a in range(0, len(order), BATCH):
+            docs = order[a : a + BATCH]
+            b = bags.batch(docs)
+            segments, lead = forward(vectors, layer, bias, b)
+            n = b["n_segments"]
+            first, doc = runs(n), np.repeat(np.arange(len(docs)), n)
+            most = np.maximum.reduceat(lead, first)
+            pick_ = np.exp(np.clip(sharp * (lead - most[doc]), -60, 0))
+            pick_ /= np.add.reduceat(pick_, first)[doc]
+            pooled = np.add.reduceat(pick_ * lead, first)
+            toxic = y[docs] > 0
+            # a toxic document pulls up the segments picked; a clean one pushes down all, its worst the most
+            error = weight[docs] * (softmax(pooled) - toxic)
+            slope = np.where(toxic[doc], error[doc] * pick_, weight[docs][doc] * softmax(lead) * (0.5 * pick_ + 0.5 / n[doc])) / len(docs)
+            on_logits = np.stack([-slope, slope], axis=1).astype(np.float32)
+            on_segments = on_logits @ layer.T
+            on_words = np.zeros((len(b["n_grams"]), DIM), np.float32)
+            each = np.repeat(on_segments / b["n_words"][:, None], b["n_words"], axis=0)
+            for j in range(DIM):
+                on_words[:, j] = np.bincount(b["place"], each[:, j], minlength=len(on_words))
+            on_words /= b["n_grams"][:, None]
+            moved, slot = np.unique(b["grams"], return_inverse=True)
+            owner = np.repeat(np.arange(len(on_words)), b["n_grams"])
+            on_grams = np.stack([np.bincount(slot, on_words[owner, j], minlength=len(moved)) for j in range(DIM)], axis=1).astype(np.float32)
+            on_grams *= bags.live[moved, None]
+            seen[0][moved] += (on_grams**2).mean(axis=1)
+            vectors[moved] -= RATE * on_grams / np.sqrt(seen[0][moved])[:, None]
+            for value, grad, total in ((layer, segments.T @ on_logits, seen[1]), (bias, on_logits.sum(axis=0), seen[2])):
+                total += grad**2
+                value -= 0.2 * RATE * grad / np.sqrt(total)
+        leads = np.concatenate([np.maximum.reduceat(forward(vectors, layer, bias, b)[1], runs(b["n_segments"])) for b in checks])
+        a, c = calibrated(leads, y[check])
+        loss = -np.log(np.clip(np.where(y[check] > 0, softmax(a * leads + c), 1 - softmax(a * leads + c)), 1e-6, 1))
+        now = (loss * weight[check]).sum() / weight[check].sum()
+        if now < best:
+            best, kept, top = now, (vectors.copy(), layer.copy(), bias.copy()), (a, c)
+    vectors, layer, bias = kept
+    # the calibration goes into the layer, so the softmax itself gives the score
+    return Model(vectors, layer * top[0], bias.astype(float) * top[0] + np.array([0.0, top[1]]))
+
+
+def calibrated(lead: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make a most toxic segment's lead a probability; smoothed targets keep both finite."""
+    pos, neg = (y > 0).sum(), (y == 0).sum()
+    goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, c = 1.0, 0.0
+    for _ in range(50):
+        p = softmax(a * lead + c)
+        g, h = p - goal, p * (1 - p) + 1e-9
+        m = np.array([[(h * lead * lead).sum() + 1e-3, (h * lead).sum()], [(h * lead).sum(), h.sum() + 1e-3]])
+        step = np.linalg.solve(m, np.array([(g * lead).sum(), g.sum()]))
+        scale = min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        a, c = max(a - scale * step[0], 1e-3), c - scale * step[1]
+    return float(a), float(c)
 
 
 def scorer(model: Model):
     """texts -> scores, with a bounded cache of words kept by the worker."""
     known: dict[str, float] = {}
+    pull, lean = model.pull(), model.lean
 
     def score(texts: list[str | None]) -> np.ndarray:
         per = [tokens(t) for t in texts]
@@ -175,19 +263,18 @@ def scorer(model: Model):
             new = list({t for ts in per for t in ts})
         if new:
             stems = [clean(t) for t in new]
-            values = model.words(stems)
+            values = word_logits(pull, stems)
             known.update(zip(new, (v if s else None for v, s in zip(values.tolist(), stems)), strict=True))
         out = np.empty(len(texts))
         for i, ts in enumerate(per):
             own = np.array([v for v in map(known.__getitem__, ts) if v is not None], float)
             if not len(own):
-                out[i] = 0.0
+                out[i] = np.nan
                 continue
             at = np.arange(0, len(own), SEGMENT)
             mean = np.add.reduceat(own, at) / np.diff(np.append(at, len(own)))
-            p = 1 / (1 + np.exp(-np.clip(mean + model.bias, -30, 30)))
-            out[i] = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
-        return np.clip(out, 0.0, 1.0)
+            out[i] = mean.max() + lean
+        return np.where(np.isnan(out), 0.0, softmax(out))
 
     return score
 
@@ -197,56 +284,80 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 2000) -> Model:
-    """Learn from at most so many labelled documents of each label, drawn by a hash of the id.
-
-    The bound holds at every input size; the drawn texts are used whole. Held-out rows, null labels
-    and null ids are left out. A repeated id counts once.
-    """
+def drawn(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, most_bytes: int) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the documents to learn from, in the order of a hash of the id."""
     marks = pick(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    drawn = None
-    for label, most in ((0, clean), (1, toxic)):
-        some = marks.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
-        drawn = some if drawn is None else drawn.unionByName(some)
+    sizes = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    both = marks.join(sizes, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("n").alias("n"))
+    out = []
+    for label, most in ((1, toxic), (0, clean)):
+        rows = both.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        total = itertools.accumulate(r["n"] for r in rows)
+        out += [(r["doc_id"], label) for i, (r, t) in enumerate(zip(rows, total, strict=True)) if t <= most_bytes // 2 or i == 0]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000, most_bytes: int = 48 << 20) -> Model:
+    """Learn from at most so many labelled documents of each label and so many bytes of text.
+
+    Documents are drawn in the order of a hash of the id, the same at every input size, and used
+    whole; training runs in one task, and the driver gets the model alone. Held-out rows, null
+    labels and null ids are left out. Rows of one id count once, with the least of their texts;
+    of its labels the greater counts. Empty tables give a model that scores all texts alike.
+    """
+    ids = drawn(docs, labels, toxic, clean, most_bytes)
+    if not ids:
+        return blank()
+    spark = docs.sparkSession
     # at most toxic + clean rows of two integers
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(rows.select("doc_id", "text", "toxic").toLocalIterator(), key=lambda r: r[0])
-    return train([r[1] for r in got], [r[2] for r in got])
+    wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
+    rows = pick(docs, "doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        got = sorted((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: r[0])
+        if got:
+            m = train([r[2] for r in got], [r[1] for r in got])
+            cells = [m.vectors.astype("<f4").tobytes(), m.layer.astype("<f8").tobytes(), m.bias.astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["vectors", "layer", "bias"])
+
+    found = rows.repartition(1).mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
+    if not found:
+        return blank()
+    v, layer, bias = found[0]
+    return Model(np.frombuffer(v, "<f4").reshape(BUCKETS, DIM), np.frombuffer(layer, "<f8").reshape(DIM, 2), np.frombuffer(bias, "<f8"))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, in one pass without a shuffle.
 
-    Null, empty and word-free texts score 0. Repeated rows are scored each for itself.
+    Null, empty and word-free texts score 0. Repeated rows are scored each for itself; an empty
+    table gives none. A long text is scored whole, by its most toxic segment.
     """
-    rows = pick(docs, "doc_id", "text")
-    frozen = model.pull
-
-    def make(state={}):  # noqa: B006 - the worker's own cache
-        if "f" not in state:
-            state["f"] = scorer(Model(frozen, model.bias))
-        return state["f"]
+    made: list = []
 
     def step(cols: dict[str, list]) -> dict[str, list]:
-        s = make()(cols["text"])
-        return {"doc_id": cols["doc_id"], "score": s.tolist()}
+        if not made:
+            made.append(scorer(model))
+        return {"doc_id": cols["doc_id"], "score": made[0](cols["text"]).tolist()}
 
-    out = map_rows(rows, step, "doc_id long, score double")
+    out = map_rows(pick(docs, "doc_id", "text"), step, "doc_id long, score double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows that score below the threshold, all columns kept."""
+    """The rows that score below the threshold, all columns kept, whatever their names.
+
+    Null, empty and word-free texts stay; repeated rows stay or go together; an empty table stays one.
+    """
     made: list = []
+    flat, at = by_place(docs)
 
     def step(cols: dict[str, list]) -> dict[str, list]:
         if not made:
             made.append(scorer(model))
-        fine = (made[0](cols["text"]) < threshold).tolist()
+        fine = (made[0](cols[at["text"]]) < threshold).tolist()
         return {c: list(itertools.compress(v, fine)) for c, v in cols.items()}
 
-    return map_rows(docs, step, docs.schema)
+    return named(map_rows(flat, step, flat.schema, at["text"]), docs.columns)
