@@ -1,8 +1,11 @@
 """Chat formatting: a finite-state machine over roles, a declarative template, loss flags by segment.
 
-The template is data: what stands before and after a turn of each role, and which roles' texts carry
-loss. The machine says which role may follow which. Texts are escaped so that no control string can
-arise inside one, and the escape is undone exactly when the output is read back.
+The template is data: for each role the segments of a turn, some of them the turn's own text, each
+with its loss flag. The machine reads a conversation turn by turn. A transition names the next state
+and what is emitted: the template's segments of the role. Orders that the machine does not know lead
+to the state ``astray``, which takes every turn, so a broken conversation is formatted whole and
+said to be broken. Texts are escaped so that no control string can arise inside one, and the escape
+is undone exactly when the output is read back.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: state -> role -> next state; a conversation may end in any state of ENDS
+#: state -> role -> next state; a conversation may end in any state of ENDS. Any other turn leads to ASTRAY.
 STEPS = {
     "start": {"system": "told", "user": "asked"},
     "told": {"user": "asked"},
@@ -26,16 +29,23 @@ STEPS = {
     "answered": {"user": "asked"},
 }
 ENDS = {"answered"}
+ASTRAY = "astray"
+
+#: In a template's segments: the place of the turn's role and of its text.
+ROLE, TEXT = "{role}", "{text}"
+
+
+def turn(loss: bool) -> tuple[tuple[str, bool], ...]:
+    """A turn's segments and their loss flags."""
+    return (("<|im_start|>", False), (ROLE, False), ("\n", False), (TEXT, loss), ("<|im_end|>\n", False))
 
 
 @dataclass(frozen=True)
 class Template:
-    """A turn is open + role + middle + text + close; only texts of ``loss_roles`` carry loss."""
+    """What a turn of each role emits; ``other`` serves roles that are not named."""
 
-    open: str = "<|im_start|>"
-    middle: str = "\n"
-    close: str = "<|im_end|>\n"
-    loss_roles: frozenset[str] = field(default_factory=lambda: frozenset({"assistant"}))
+    turns: dict[str, tuple[tuple[str, bool], ...]] = field(default_factory=lambda: {"assistant": turn(True)})
+    other: tuple[tuple[str, bool], ...] = turn(False)
 
     def escape(self, text: str) -> str:
         """``<|`` never stays as it is, so no control string survives; ``<\\`` is doubled to tell them apart."""
@@ -52,26 +62,39 @@ class Template:
         return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], self.unescape(role))
 
 
+class Machine:
+    """Reads turns, emits segments; ``problem`` says where the order of roles was left, if it was."""
+
+    def __init__(self, t: Template):
+        self.t, self.state, self.n, self.problem = t, "start", 0, ""
+
+    def step(self, role: str, text: str) -> Iterator[tuple[str, bool]]:
+        """(text, carries loss) pieces of one turn, in order."""
+        self.n += 1
+        after = STEPS.get(self.state, {}).get(role, ASTRAY)
+        if after == ASTRAY and not self.problem:
+            self.problem = f"turn {self.n}: {role or 'no role'} after {self.state}"
+        self.state = after
+        for piece, loss in self.t.turns.get(role, self.t.other):
+            yield (self.t.escape_role(role) if piece == ROLE else self.t.escape(text) if piece == TEXT else piece), loss
+
+    def verdict(self) -> str:
+        """'' for a valid conversation, else where and why it is not."""
+        return self.problem or ("" if self.state in ENDS else f"ends {self.state}")
+
+
 def check(roles: Iterable[str]) -> str:
-    """'' for a valid order of turns, else where and why it is not."""
-    state, n = "start", 0
-    for n, role in enumerate(roles, 1):
-        if role not in STEPS.get(state, {}):
-            return f"turn {n}: {role or 'no role'} after {state}"
-        state = STEPS[state][role]
-    return "" if state in ENDS else f"ends {state}"
+    machine = Machine(Template())
+    for role in roles:
+        list(machine.step(role, ""))
+    return machine.verdict()
 
 
-def segments(turns: Iterable[tuple[str, str]], t: Template) -> Iterator[tuple[str, bool]]:
-    """(text, carries loss) pieces of the formatted conversation, in order."""
-    for role, text in turns:
-        yield t.open + t.escape_role(role) + t.middle, False
-        yield t.escape(text), role in t.loss_roles
-        yield t.close, False
+OPEN, CLOSE = turn(False)[0][0], turn(False)[-1][0]
 
 
 class Reader:
-    """Reads formatted segments back as they come; holds one turn at a time."""
+    """Reads formatted turns back as they come, from the text and its mask alone; holds one turn at a time."""
 
     def __init__(self, t: Template):
         self.t, self.head = t, ""
@@ -82,9 +105,9 @@ class Reader:
         """One whole turn and the spans of it under the mask."""
         t = self.t
         self.chars += len(formatted)
-        if not formatted.startswith(t.open) or not formatted.endswith(t.close):
+        if not formatted.startswith(OPEN) or not formatted.endswith(CLOSE):
             raise ValueError("not a turn")
-        role, _, text = formatted[len(t.open) : -len(t.close)].partition(t.middle)
+        role, _, text = formatted[len(OPEN) : -len(CLOSE)].partition("\n")
         role, text = t.unescape_role(role), t.unescape(text)
         self.turns += 1
         self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -94,11 +117,8 @@ class Reader:
             self.loss.update(under.encode("utf-8", "surrogatepass"))
 
 
-FORMATTED = "conv_id long, turn_no long, role string, segments array<struct<text:string,loss:boolean>>"
-READ = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
-    "valid boolean, problem string"
-)
+FORMATTED = "conv_id long, place long, segments array<struct<text:string,loss:boolean>>, problem string"
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, problem string"
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -109,40 +129,46 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def format_turns(rows: DataFrame, t: Template | None = None) -> DataFrame:
-    """One row a turn: its segments with their loss flags, in order within each partition.
+    """One row a turn: its place in the conversation, its segments with their loss flags, and what is wrong so far.
 
-    A null text or role is the empty one. Rows of a null conv_id form one conversation. Repeated
-    rows are repeated turns. Turns of one conversation stay together and in order, row by row, so
-    the longest conversation needs no more memory than one turn.
+    The last turn's ``problem`` is the machine's verdict on the whole conversation, null for a valid
+    one. A null text or role is the empty one. Rows of a null conv_id form one conversation, repeated
+    rows are repeated turns, an empty table gives none. Turns are taken one by one, so the longest
+    conversation needs no more memory than one turn; being one sequence, it is one task's work.
     """
     t = t or Template()
 
     def run(batches):
+        now, machine = None, None
         for batch in batches:
-            conv, role, text = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = [[{"text": s, "loss": f} for s, f in segments([(r, x)], t)] for r, x in zip(role, text, strict=True)]
+            ids, places, made, problems = batch.column(0), [], [], []
+            for conv, role, text in zip(ids.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if now != (conv,):
+                    now, machine = (conv,), Machine(t)
+                made.append([{"text": s, "loss": f} for s, f in machine.step(role, text)])
+                places.append(machine.n)
+                problems.append(machine.verdict() or None)
             yield pa.RecordBatch.from_arrays(
-                [conv, batch.column(1), pa.array(role, pa.string()), pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())])))],
-                ["conv_id", "turn_no", "role", "segments"],
+                [ids, pa.array(places, pa.int64()), pa.array(made, pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), pa.array(problems, pa.string())],
+                ["conv_id", "place", "segments", "problem"],
             )
 
     return in_order(rows).mapInArrow(run, FORMATTED)
 
 
 def read_back(formatted: DataFrame, t: Template | None = None) -> DataFrame:
-    """One row a conversation from the formatted turns of ``format_turns``: what the output says.
+    """One row a conversation from rows of ``format_turns`` in any order: what the output says.
 
-    ``valid`` and ``problem`` are the machine's verdict on the order of roles; a conversation that
-    breaks it is formatted all the same.
+    ``valid`` and ``problem`` are the machine's verdict; a conversation that breaks the order of
+    roles is formatted all the same.
     """
     t = t or Template()
 
     def run(batches):
-        now, reader, roles = None, None, []
+        now, reader, problem = None, None, None
         done: list[dict] = []
 
         def close():
-            problem = verdict()
             done.append(
                 {
                     "conv_id": now[0],
@@ -151,35 +177,25 @@ def read_back(formatted: DataFrame, t: Template | None = None) -> DataFrame:
                     "loss_chars": reader.loss_chars,
                     "loss_sha256": reader.loss.hexdigest(),
                     "formatted_chars": reader.chars,
-                    "valid": not problem,
-                    "problem": problem or None,
+                    "valid": problem is None,
+                    "problem": problem,
                 }
             )
 
-        def verdict():
-            if machine["problem"]:
-                return machine["problem"]
-            return "" if machine["state"] in ENDS else f"ends {machine['state']}"
-
-        machine: dict = {}
         for batch in batches:
-            for conv, role, segs in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for conv, segs, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if now != (conv,):
                     if now is not None:
                         close()
-                    now, reader, machine = (conv,), Reader(t), {"state": "start", "problem": ""}
-                text, mask = "", []
+                    now, reader = (conv,), Reader(t)
+                problem, text, mask = said, [], []
+                at = 0
                 for s in segs:
                     if s["loss"]:
-                        mask.append((len(text), len(text) + len(s["text"])))
-                    text += s["text"]
-                reader.feed(text, mask)
-                if not machine["problem"]:
-                    after = STEPS.get(machine["state"], {}).get(role)
-                    if after is None:
-                        machine["problem"] = f"turn {reader.turns}: {role or 'no role'} after {machine['state']}"
-                    else:
-                        machine["state"] = after
+                        mask.append((at, at + len(s["text"])))
+                    text.append(s["text"])
+                    at += len(s["text"])
+                reader.feed("".join(text), mask)
             if len(done) >= 1000:
                 yield pa.RecordBatch.from_pylist(done, schema=ARROW)
                 done.clear()
@@ -187,9 +203,9 @@ def read_back(formatted: DataFrame, t: Template | None = None) -> DataFrame:
             close()
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=ARROW)
-        del roles
 
-    return formatted.mapInArrow(run, READ)
+    ordered = pick(formatted, "conv_id", "place", "segments", "problem").repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return ordered.mapInArrow(run, READ)
 
 
 ARROW = pa.schema(

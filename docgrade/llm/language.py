@@ -10,7 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_rows, pick
@@ -60,73 +62,101 @@ def ranked(values: np.ndarray, counts: np.ndarray | None = None, top: int = TOP)
 
 @dataclass(frozen=True)
 class Profiles:
+    """For every n-gram of any profile the languages that rank it: as many entries as the profiles have ranks."""
+
     langs: tuple[str, ...]
-    grams: np.ndarray  # sorted; those of any language
-    ranks: np.ndarray  # by n-gram and language, TOP where the profile lacks it
+    grams: np.ndarray  # sorted
+    first: np.ndarray  # by n-gram, where its entries begin; one more at the end
+    lang: np.ndarray  # by entry
+    rank: np.ndarray  # by entry
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """For each language how far out of place the document's ranking is; an n-gram it lacks counts TOP."""
+        far = np.full(len(self.langs), float(TOP * len(own)))
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+            known = np.flatnonzero(self.grams[at] == own)
+            a, n = self.first[at[known]], self.first[at[known] + 1] - self.first[at[known]]
+            entry = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = np.repeat(known, n)
+            far += np.bincount(self.lang[entry], np.abs(self.rank[entry] - place) - TOP, minlength=len(self.langs))
+        return far
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = ranked(grams(text))
         if not len(own) or not self.langs:
             return "und", 0.0
-        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        there = np.where((self.grams[at] == own)[:, None], self.ranks[at], TOP)
-        out_of_place = np.abs(there - np.arange(len(own))[:, None])
-        out_of_place[there == TOP] = TOP
-        far = out_of_place.sum(axis=0) / (TOP * len(own))
-        order = np.lexsort((np.arange(len(far)), far))
-        best = far[order[0]]
+        far = self.distances(own) / (TOP * len(own))
+        best = int(far.argmin())
         if len(far) == 1:
-            return self.langs[0], float(1 - best)
+            return self.langs[0], float(1 - far[0])
         # how much nearer the best is than the next: one half when they are equally near
-        return self.langs[order[0]], float(far[order[1]] / (best + far[order[1]])) if best + far[order[1]] else 0.5
+        next_ = np.partition(far, 1)[1]
+        return self.langs[best], float(next_ / (far[best] + next_)) if far[best] + next_ else 0.5
+
+
+def profiles(tops: dict[str, np.ndarray]) -> Profiles:
+    """From each language's n-grams, most frequent first."""
+    langs = tuple(sorted(tops))
+    if not langs:
+        return Profiles((), *(np.zeros(0, np.int64) for _ in range(4)))
+    gram = np.concatenate([tops[x] for x in langs])
+    lang = np.repeat(np.arange(len(langs)), [len(tops[x]) for x in langs])
+    rank = np.concatenate([np.arange(len(tops[x])) for x in langs])
+    order = np.argsort(gram, kind="stable")
+    every, first = np.unique(gram[order], return_index=True)
+    return Profiles(langs, every, np.append(first, len(gram)), lang[order], rank[order])
 
 
 def learn(texts_by_lang: dict[str, list[str | None]]) -> Profiles:
     tops = {}
-    for lang, texts in sorted(texts_by_lang.items()):
+    for lang, texts in texts_by_lang.items():
         values = [g for g in map(grams, texts) if len(g)]
         if values:
             tops[lang] = ranked(np.concatenate(values))
-    langs = tuple(tops)
-    every = np.unique(np.concatenate(list(tops.values()))) if tops else np.zeros(0, np.int64)
-    ranks = np.full((len(every), len(langs)), TOP, np.int64)
-    for j, lang in enumerate(langs):
-        ranks[np.searchsorted(every, tops[lang]), j] = np.arange(len(tops[lang]))
-    return Profiles(langs, every, ranks)
+    return profiles(tops)
 
 
-def fit(docs: DataFrame, per_lang: int = 400, most_langs: int = 200) -> Profiles:
-    """Profiles from at most ``per_lang`` documents of each of at most ``most_langs`` languages.
+def fit(docs: DataFrame, per_lang: int = 400) -> Profiles:
+    """The profile of every language there is, from at most ``per_lang`` rows of each, used whole.
 
-    The documents are drawn by a hash of the id among those that may be learnt from (not held out,
-    lang not null) and used whole. More languages than the bound are an error, never left out.
+    Rows are drawn in the order of a hash of id and text among those that may be learnt from (not
+    held out, lang not null); equal rows in the draw count each. N-grams are counted where the texts
+    are, summed by language, cut to TOP, and only the profiles go to the driver: TOP numbers a language.
     """
     rows = pick(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy("lang").limit(most_langs + 1).collect()]
-    if len(langs) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    drawn = None
-    for lang in langs:
-        some = rows.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        drawn = some if drawn is None else drawn.unionByName(some)
-    if drawn is None:
-        return learn({})
-    # at most per_lang * most_langs rows of an id and a short string
-    got = rows.join(F.broadcast(drawn.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").toLocalIterator()
-    by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r[0], r[2] or "")):
-        by.setdefault(r[1], []).append(r[2])
-    return learn(by)
-
-
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
+    # numbers alone are ranked; Spark cuts each task's languages to per_lang before the shuffle
+    drawn = rows.select("doc_id", "lang", "order").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("order", "doc_id")))
+    drawn = drawn.filter(F.col("place") <= per_lang).groupBy("doc_id", "lang", "order").agg(F.count("*").alias("times"))
+    texts = rows.join(drawn, ["doc_id", "lang", "order"]).select("lang", "text", "times").dropDuplicates(["lang", "text"])
+
+    def count(batches):
+        for batch in batches:
+            for lang, text, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                values, n = np.unique(grams(text), return_counts=True)
+                if len(values):
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(values), "gram": values, "n": n * times})
+
+    sums = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    best = W.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    top = sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP).select("lang", "rank", "gram")
+    tops: dict[str, list] = {}
+    for lang, _, gram in sorted(top.collect()):
+        tops.setdefault(lang, []).append(gram)
+    return profiles({k: np.array(v, np.int64) for k, v in tops.items()})
+
+
+def predict(docs: DataFrame, known: Profiles) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, in one pass without a shuffle.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learnt.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learnt. Repeated
+    rows repeat, an empty table gives none, a long text is ranked whole; equally near languages
+    go to the first by name.
     """
 
     def step(cols: dict[str, list]) -> dict[str, list]:
-        got = [profiles.predict(t) for t in cols["text"]]
+        got = [known.predict(t) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     out = map_rows(pick(docs, "doc_id", "text"), step, "doc_id long, lang_pred string, score double")
