@@ -22,22 +22,82 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Mandatory, optional and replaceable wording of common license notices.
+#: Public license texts and notices as words, with their optional and replaceable regions.
+MIT = """
+permission is hereby granted free of charge to any person obtaining a copy of this software and <<optional>> its <<end>> associated
+documentation <<optional>> files <<end>> the <<var:2>> to deal in the <<var:2>> without restriction including without limitation the
+rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var:2>> and to permit persons to whom the
+<<var:2>> is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+<<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the <<var:2>>
+"""
+MIT_WARRANTY = """
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+merchantability fitness for a particular purpose and noninfringement in no event shall <<var:8>> be liable for any claim damages or
+other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use
+or other dealings in the software
+"""
+BSD = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the
+following disclaimer <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of
+conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+"""
+BSD_NAMES = "neither the name of <<var:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+ISC = """
+permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby
+granted provided that the above copyright notice and this permission notice appear in all copies
+"""
+ZLIB = """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+applications and to alter it and redistribute it freely subject to the following restrictions
+"""
+APACHE_NOTICE = """
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may
+obtain a copy of the license at <<var:1>> www apache org licenses license 2 0
+"""
+GPL_NOTICE = """
+is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free
+software foundation either version {} of the license or <<optional>> at your option <<end>> any later version
+"""
+MPL_NOTICE = """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+file you can obtain one at
+"""
+UNLICENSE = """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means
+"""
+BOOST = """
+permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to
+prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the
+following
+"""
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and <<optional>> its <<end>> associated documentation files the <<var:3>> to deal in"),
+    ("mit", MIT),
+    ("mit", MIT_WARRANTY),
     ("mit", "<<optional>> this <<end>> <<var:3>> is <<optional>> free software <<end>> licensed under the <<optional>> terms of the <<end>> mit license"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", APACHE_NOTICE),
     ("apache-2", "licensed under the apache license <<optional>> version <<end>> 2 0"),
     ("apache-2", "spdx license identifier apache 2 0"),
-    ("mit", "spdx license identifier mit"),
-    ("gpl-3", "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 3"),
-    ("gpl-2", "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("gpl-2", GPL_NOTICE.format("2")),
+    ("gpl-3", GPL_NOTICE.format("3")),
+    ("gpl-2", "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation either <<end>> version 2"),
+    ("gpl-3", "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation either <<end>> version 3"),
+    ("gpl-2", "spdx license identifier gpl 2 0 <<optional>> only <<end>> <<optional>> or later <<end>>"),
+    ("gpl-3", "spdx license identifier gpl 3 0 <<optional>> only <<end>> <<optional>> or later <<end>>"),
+    ("bsd-2", BSD),
+    ("bsd-3", BSD_NAMES),
+    ("isc", ISC),
+    ("zlib", ZLIB),
+    ("mpl-2", MPL_NOTICE),
+    ("unlicense", UNLICENSE),
+    ("boost", BOOST),
     ("cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> cc by nc <<optional>> 4 0 <<end>>"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("all-rights-reserved", "all rights reserved"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2", "mozilla public license <<optional>> v <<end>> <<optional>> version <<end>> 2 0"),
-    ("proprietary", "unauthorized copying of this <<var:4>> is strictly prohibited"),
+    ("cc-by-nc", "licensed under <<optional>> a <<end>> <<optional>> the <<end>> creative commons attribution noncommercial <<optional>> 4 0 international <<end>> license"),
 )
 
 #: Every byte that is no word's part becomes a blank; the words are what is left between blanks.
@@ -143,7 +203,6 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         ws = words(text)
         base, labels, places = set(), set(), []
-        covered = 0
         hits = self.keys.intersection(ws)
         if hits:
             for i in [i for i, w in enumerate(ws) if w in hits]:
@@ -152,9 +211,8 @@ class Scanner:
                         places.append(i)
                         base.add(label)
                 for a in self.by_start.get(ws[i], ()):
-                    if (end := a.match(ws, i)) is not None:
+                    if a.label not in labels and a.match(ws, i) is not None:
                         labels.add(a.label)
-                        covered = max(covered, end - i)
         labels |= base
         return {
             "n_words": len(ws),
@@ -163,8 +221,8 @@ class Scanner:
             "last_word": max(places, default=None),
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(labels)),
-            # certain with a base phrase; else the longer the mandatory wording that matched, the surer
-            "score": 1.0 if base else (min(0.95, 0.5 + covered / 40) if labels else 0.0),
+            # wording is accepted exactly or not at all, so there is no degree between
+            "score": 1.0 if labels else 0.0,
         }
 
 
@@ -176,7 +234,9 @@ SCHEMA = (
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """License findings of every row's whole text, in one pass without a shuffle.
 
-    Null or word-free texts have no words, no places and no labels. Repeated rows repeat.
+    Null or word-free texts have no words, no places and no labels. Repeated rows repeat, an empty
+    table gives none, a long text is scanned whole. score is 1 where a phrase or a template is
+    accepted, else 0.
     """
     made: list[Scanner] = []
 
