@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units behind numbers and names become typed placeholders, one for each run
-of them. Windows of the resulting templates are hash-joined, all of an item
+of them, lists of numbers included. Windows of the resulting templates are hash-joined, all of an item
 and all of a document. A match names an alignment; along those that lie near each other the
 whole item is compared with the document, so that an added or dropped word only moves the rest, and
 the values in the slots are checked: a re-parameterised question puts the same new value wherever
@@ -10,10 +10,12 @@ the old one stood.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, settle
+from .common import by_place, named, pick, settle
 
 WINDOW = 6
 #: Beside an alignment that a window found, those so many tokens away count too, in runs of three.
@@ -41,7 +43,7 @@ _NAMES = rf"{_NAME}(?:[\s-]{{1,2}}{_NAME})*+"
 _NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _SIGN = r"[$€£¥%°]"
 _PART = rf"(?=[$%0-9\u00a3-\x{{10ffff}}])(?:{_SIGN}|{_NUMBER}(?: ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))?+)"
-_QUANTITIES = rf"{_PART}(?: *{_PART})*+"
+_QUANTITIES = rf"{_PART}(?:[ ,;|\t]*{_PART})*+"
 
 
 #: Letters of scripts that put no blanks between words: Thai, Lao, Burmese, Khmer, Kana, Han.
@@ -83,28 +85,6 @@ def weights(tokens: str) -> str:
     return rf"transform({tokens}, v -> size(regexp_extract_all(v, r'\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))"
 
 
-def values(text: Column) -> Column:
-    """As many tokens as the template has, slots with their values between marks."""
-    named = F.regexp_replace(plain(text), _NAMES, f"{NAME}$0{END}")
-    marked = F.regexp_replace(named, _QUANTITIES, f"{QUANTITY}$0{END}")
-    return F.regexp_extract_all(F.lower(marked), F.lit(f"[{QUANTITY}{NAME}][^{END}]*{END}|\\p{{L}}+"), 0)
-
-
-def placed(tokens: str) -> str:
-    """The template of ``values``."""
-    return f"transform({tokens}, v -> if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v))"
-
-
-def bare(tokens: str) -> str:
-    """``values`` without marks."""
-    return f"transform({tokens}, v -> translate(v, '{QUANTITY}{NAME}{END}', ''))"
-
-
-def weights(tokens: str) -> str:
-    """How many names, numbers, units or words each of ``values`` stands for."""
-    return f"transform({tokens}, v -> size(regexp_extract_all(v, r'\\p{{L}}+|{_NUMBER}|{_SIGN}', 0)))".replace("\\\\", "\\")
-
-
 def value(v: str) -> str:
     """A slot's value: the numbers of a quantity, however its units are written, or the name."""
     return rf"if({v} rlike r'\p{{N}}', trim(regexp_replace({v}, r'[^\p{{N}}.,]+', ' ')), trim(regexp_replace({v}, r'[{QUANTITY}{NAME}{END}\s-]+', ' ')))"
@@ -131,15 +111,38 @@ def short_leaks(keyed: DataFrame, items: DataFrame) -> DataFrame:
     """
     lengths = [x[0] for x in items.select(F.size("item_e").alias("n")).filter("n > 0").distinct().orderBy("n").collect()]
     if not lengths:
-        none = keyed.select("doc_key", F.lit(0).alias("matched")).limit(0).join(items.select("item_id").limit(0))
-        return none.select("doc_key", "item_id", "matched", F.col("matched").alias("item_tokens"), F.lit(True).alias("slots_consistent"))
+        return keyed.select("doc_key", F.lit(0).cast("long").alias("item_id"), *as_found(F.lit(0))).limit(0)
     sought = items.select("item_id", F.array_join("item_e", " ").alias("words"), F.size("item_e").alias("length"))
+    sought, _ = settle(sought)  # written, so that Spark knows its size when it chooses how to join
     texts = keyed.select("doc_key", exact(F.col("text")).alias("tokens"))
     long = [n for n in lengths if n > 2]
     whole = texts.select("doc_key", F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length")).filter("length <= 2")
     places = stretches(texts, "tokens", long, "doc_key").select("doc_key", "words", "length").unionByName(whole) if long else whole
     met = places.join(sought, ["words", "length"]).select("doc_key", "item_id", "length").distinct()
-    return met.select("doc_key", "item_id", F.col("length").alias("matched"), F.col("length").alias("item_tokens"), F.lit(True).alias("slots_consistent"))
+    return met.select("doc_key", "item_id", *as_found(F.col("length")))
+
+
+def as_found(n: Column) -> list[Column]:
+    return [n.alias("matched"), n.alias("item_tokens"), F.lit(True).alias("slots_consistent")]
+
+
+#: Words of 64 bits in the bitmap of hit texts: at most 2 MB, however many there are.
+BITMAP = 1 << 18
+
+
+def hit_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_key, text of the texts whose key is among ``keys``, each text once.
+
+    A bitmap of fixed size, filled from the keys, is broadcast and leaves most other texts out; the
+    join by key decides. Equal texts are put together where they are read, so copies move as one.
+    """
+    h = F.xxhash64("doc_key")
+    word, bit = F.pmod(h, F.lit(BITMAP)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    bits = keys.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text").withColumns({"word": word, "bit": bit})
+    may = keyed.join(F.broadcast(bits), "word").filter("getbit(bits, bit) = 1")
+    once = may.groupBy("doc_key").agg(F.first("text").alias("text"))
+    return once.join(keys.hint("shuffle_hash"), "doc_key", "left_semi")
 
 
 def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
@@ -152,9 +155,14 @@ def windowed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
 
 
 def read_twice(items: DataFrame) -> DataFrame:
-    """The items' windows with names as placeholders, and with single names as the words they may be."""
+    """The items' windows with names as placeholders, and with single names as the words they may be.
+
+    A window of placeholders alone says nothing and would meet every list of names.
+    """
+    has_word = f"exists(slice(item_t, at + 1, {WINDOW}), t -> t NOT IN ('{QUANTITY}', '{NAME}'))"
     words = items.withColumn("item_t", F.expr(rf"zip_with(item_v, item_p, (v, p) -> if(v rlike r'^{NAME}\p{{L}}+{END}$', p, if(left(v, 1) IN ('{QUANTITY}', '{NAME}'), left(v, 1), v)))"))
-    return windowed(items, "item_t", "item_id").unionByName(windowed(words, "item_t", "item_id"))
+    both = windowed(items, "item_t", "item_id", "item_t").filter(has_word).unionByName(windowed(words, "item_t", "item_id", "item_t").filter(has_word))
+    return both.drop("item_t")
 
 
 def compared() -> Column:
@@ -178,20 +186,22 @@ def compared() -> Column:
     return F.expr(f"transform(concat({alone}, {together}), g -> {line})")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = 8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = 8) -> tuple[DataFrame, Callable[[], None]]:
     """doc_key, item_id, matched, item_tokens, slots_consistent: one row for each leaked item of a text.
 
-    doc_key is the text's md5. Names, numbers, units and words are counted. An item counts as leaked
-    where at least ``share`` of them and ``least`` of them stand in the document along alignments near
-    each other, and its slots' values map consistently; without that, nine tenths of its words must
-    match. Six template tokens in a row are always found. An item of fewer than ``least``, or of
-    fewer template tokens than a window, is looked for word for word. Null and empty texts and items
-    leak nothing. Repeated items each count.
+    The second value removes what was written for it. doc_key is the text's md5. Names, numbers, units
+    and words are counted. An item counts as leaked where at least ``share`` of them and ``least`` of
+    them stand in the document along alignments near each other, and its slots' values map
+    consistently (an old value has one new value wherever it stood); without that, nine tenths of its
+    words must match. Six template tokens in a row, a word among them, are always found. An item of
+    fewer than ``least``, of fewer template tokens than a window or without a word is looked for
+    word for word. Null and empty texts and items leak nothing. Repeated items each count.
     """
     items = pick(benchmark, "item_id", "text").filter("text IS NOT NULL").select("item_id", "text", values(F.col("text")).alias("item_v"))
     items = items.select("item_id", "text", "item_v", F.expr(placed("item_v")).alias("item_t"), F.expr(bare("item_v")).alias("item_p"), F.expr(weights("item_v")).alias("item_w"))
     items = items.withColumn("item_tokens", F.expr("aggregate(item_w, 0, (a, w) -> a + w)"))
-    long = (F.col("item_tokens") >= least) & (F.size("item_t") >= WINDOW)
+    has_word = F.exists("item_t", lambda t: ~t.isin(QUANTITY, NAME))
+    long = (F.col("item_tokens") >= least) & (F.size("item_t") >= WINDOW) & has_word
     short = items.filter(~long).select("item_id", exact(F.col("text")).alias("item_e"))
     items = items.filter(long).drop("text")
     # written, so that Spark knows its size when it chooses how to join
@@ -202,9 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     found, drop_found = settle(met.groupBy("doc_key", "item_id").agg(F.sort_array(F.collect_set(F.col("at") - F.col("item_at"))).alias("shifts")))
     drop_index()
 
-    again = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), F.col("text"))
-    # dealt by key at every size: found grows with the corpus and is never broadcast
-    own = again.join(found.select("doc_key").distinct().hint("shuffle_hash"), "doc_key").dropDuplicates(["doc_key"])
+    own = hit_texts(texts, found.select("doc_key").distinct())
     own = own.select("doc_key", values(F.col("text")).alias("doc_v"))
     own = own.select("doc_key", "doc_v", F.expr(placed("doc_v")).alias("doc_t"), F.expr(bare("doc_v")).alias("doc_p"))
     lined = found.join(own.hint("shuffle_hash"), "doc_key").join(items, "item_id")
@@ -230,20 +238,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int
     )
     best = judged.groupBy("doc_key", "item_id").agg(F.max(F.struct("matched", "slots_consistent", "item_tokens")).alias("b"))
     best = best.select("doc_key", "item_id", "b.matched", "b.item_tokens", "b.slots_consistent")
-    return best.unionByName(short_leaks(again, short))
+    every = best.unionByName(short_leaks(texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text"), short))
+    out, drop = settle(every)
+    drop_found()
+    return out, drop
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, item_tokens, slots_consistent for every row that holds an item."""
+    """doc_id, item_id, matched, item_tokens, slots_consistent for every row that holds an item.
+
+    Repeated rows repeat; null texts hold none; empty tables give none.
+    """
     rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("doc_key"))
-    found, _ = settle(leaks(docs, benchmark))
+    found, _ = leaks(docs, benchmark)
     return rows.join(found.hint("shuffle_hash"), "doc_key").select(
         "doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), "slots_consistent"
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a leaked item, all columns kept; null texts stay."""
-    found, _ = settle(leaks(docs, benchmark).select("doc_key").distinct())
-    keyed = docs.withColumn("__doc_key", F.md5(F.col("text").cast("binary")))
-    return keyed.join(found.hint("shuffle_hash"), keyed["__doc_key"] == found["doc_key"], "left_anti").drop("__doc_key")
+    """The rows without a leaked item, all columns kept, whatever their names.
+
+    Null texts stay; repeated rows stay or go together; an empty table stays one.
+    """
+    found, drop = leaks(docs, benchmark)
+    keys, _ = settle(found.select("doc_key").distinct())
+    drop()
+    flat, at = by_place(docs)
+    keyed = flat.withColumn("doc_key", F.md5(F.col(at["text"]).cast("binary")))
+    return named(keyed.join(keys, "doc_key", "left_anti"), docs.columns)
