@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's own removal of shuffle files when the query that wrote them ends.
@@ -108,6 +108,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Words of 64 bits in the bitmap of ``sifted``: at most 2 MB, however many keys there are.
+BITMAP = 1 << 18
+
+
+def sifted(rows: DataFrame, key: Column, keys: DataFrame, own: Column) -> DataFrame:
+    """The rows whose key may be among ``keys`` (a column of that table), before a join by that key decides.
+
+    A bitmap of fixed size, filled from a hash of the keys, is broadcast: it leaves most other rows
+    out while keys are few, ever fewer as they become many, and never one that belongs.
+    """
+    word = lambda h: F.pmod(h, F.lit(BITMAP)).cast("int")
+    bit = lambda h: F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    h = F.xxhash64(own)
+    bits = keys.select(word(h).alias("_word"), F.lit(1).cast("long").alias("_one"), bit(h).alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    marked = rows.withColumns({"_word": word(F.xxhash64(key)), "_bit": bit(F.xxhash64(key))})
+    return marked.join(F.broadcast(bits), "_word").filter("getbit(_bits, _bit) = 1").select(*rows.columns)
+
+
 #: Tables written by ``settle`` and not removed yet; those that a result still reads go when the driver ends.
 _left: dict[str, Callable[[], None]] = {}
 

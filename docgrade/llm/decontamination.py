@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, named, pick, settle
+from .common import by_place, named, pick, settle, sifted
 
 WINDOW = 6
 #: Beside an alignment that a window found, those so many tokens away count too, in runs of three.
@@ -126,21 +126,13 @@ def as_found(n: Column) -> list[Column]:
     return [n.alias("matched"), n.alias("item_tokens"), F.lit(True).alias("slots_consistent")]
 
 
-#: Words of 64 bits in the bitmap of hit texts: at most 2 MB, however many there are.
-BITMAP = 1 << 18
-
-
 def hit_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_key, text of the texts whose key is among ``keys``, each text once.
 
-    A bitmap of fixed size, filled from the keys, is broadcast and leaves most other texts out; the
-    join by key decides. Equal texts are put together where they are read, so copies move as one.
+    Equal texts are put together where they are read, so copies move as one.
     """
-    h = F.xxhash64("doc_key")
-    word, bit = F.pmod(h, F.lit(BITMAP)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
-    bits = keys.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
-    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text").withColumns({"word": word, "bit": bit})
-    may = keyed.join(F.broadcast(bits), "word").filter("getbit(bits, bit) = 1")
+    keyed = texts.select(F.md5(F.col("text").cast("binary")).alias("doc_key"), "text")
+    may = sifted(keyed, F.col("doc_key"), keys, F.col("doc_key"))
     once = may.groupBy("doc_key").agg(F.first("text").alias("text"))
     return once.join(keys.hint("shuffle_hash"), "doc_key", "left_semi")
 

@@ -11,6 +11,11 @@ that stayed outside its component are then held against all members of those buc
 bounded size that give confirmed links alone; so no two documents of a bucket that are linked stay
 apart, and no pairs are listed. Equal sets are one node from the start, so exact copies form no
 edges at all.
+
+A hub of many edges is salted: its members are dealt over tasks FAN at a time and its set travels
+once to each, not once for each edge. Full sets move only to (hub, salt) and to pairs of blocks;
+the joins by bucket, hub and class move rows of a few numbers, which adaptive execution splits where
+one key holds much.
 """
 
 from __future__ import annotations
@@ -30,8 +35,9 @@ from .wordhash import hashes, split, windows
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 512
-#: Documents in a block that is held against another.
+#: Documents in a block that is held against another, and members of a hub that meet its set in one task.
 NODES = 256
+FAN = 512
 _draws: list[np.ndarray] = []
 
 
@@ -108,24 +114,37 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_rows(text.join(nodes.hint("shuffle_hash"), "node"), step, "node long, own binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose full sets agree: 100 * intersection >= percent * union."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct hashes."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: those edges from a hub (hub, node, salt) whose full sets agree."""
 
     def run(batches):
-        for batch in batches:
-            a_all, b_all = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(a_all[i].as_buffer(), np.uint64), np.frombuffer(b_all[i].as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
-                keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("own").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+        rows = (r for batch in batches for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist())
+        for (hub, _), own in itertools.groupby(rows, key=lambda r: (r["hub"], r["salt"])):
+            held, found = [], set()
+            for r in own:
+                values = np.frombuffer(r["own"], np.uint64)
+                if r["side"] == 0:
+                    held.append(values)
+                elif any(linked(h, values, percent) for h in held):
+                    found.add(r["node"])
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [hub] * len(found), "b": sorted(found)}, schema=SCHEMA_LINKS)
+
+    hubs = stars.select("hub", "salt").distinct().join(sets.withColumnRenamed("node", "hub"), "hub")
+    hubs = hubs.select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("node"), "own")
+    members = stars.select("hub", "salt", "node").join(sets, "node").select("hub", "salt", F.lit(1).alias("side"), "node", "own")
+    met = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def within(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,13 +156,14 @@ def within(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     known = labels.select("node", "label")
     around = stars.select("hub", "node").unionByName(stars.select("hub", F.col("hub").alias("node")).distinct())
     around = around.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_hub = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    around = around.join(of_hub, "hub", "left").withColumn("left", F.col("label") != F.coalesce("hub_label", "hub"))
-    sizes = around.groupBy("hub").agg(F.count_if("left").alias("n_left"), F.count_if(~F.col("left")).alias("n_in"))
+    counts = around.groupBy("hub", "label").agg(F.count("*").alias("n"), F.max(F.col("node") == F.col("hub")).alias("own"))
+    sizes = counts.groupBy("hub").agg(
+        F.sum(F.when(~F.col("own"), F.col("n"))).alias("n_left"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_in"), F.max(F.when(F.col("own"), F.col("label"))).alias("hub_label")
+    )
     sizes = sizes.filter("n_left > 0 AND n_left + n_in > 2").select(
-        "hub", F.ceil(F.col("n_left") / NODES).cast("int").alias("left_blocks"), F.ceil(F.col("n_in") / NODES).cast("int").alias("in_blocks")
+        "hub", "hub_label", F.ceil(F.col("n_left") / NODES).cast("int").alias("left_blocks"), F.ceil(F.col("n_in") / NODES).cast("int").alias("in_blocks")
     )
-    rows = around.join(sizes, "hub")
+    rows = around.join(sizes, "hub").withColumn("left", F.col("label") != F.col("hub_label"))
     left, inside = rows.filter("left"), rows.filter("NOT left")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     one = left.withColumn("i", block("left_blocks"))
@@ -237,34 +257,39 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| over their sets of ``size``-word
     shingles; component_id is the smallest doc_id that links reach. Null, empty and word-free texts
-    have no shingles and are linked with nothing. Rows of one id are one document. A row without an
-    id is linked with nothing and kept; its component_id is null.
+    have no shingles and are linked with nothing. Rows of one id are one document, linked with what
+    any of their texts is linked with. A row without an id is linked with nothing and kept; its
+    component_id is null. An empty table gives none. A long text counts whole.
     """
     sketch, drop_sketch = settle(sketches(docs, size))
     known = sketch.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     least = known.groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes, _ = settle(sketch.join(least, "key", "left").select("doc_id", "n", "bands", "node"))
-    drop_sketch()
-    members = classes.filter("doc_id = node").select("node", "n", F.explode("bands").alias("bucket")).distinct()
+    # texts without words and rows without an id have no class; they never meet under one null key
+    alone = sketch.filter("key IS NULL OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("node"))
+    classes, _ = settle(known.select("doc_id", "n", "key").join(least, "key").select("doc_id", "n", "node"))
+    # by key and id: a class of copies keeps its bands with its first document alone
+    first = known.join(least.withColumnRenamed("node", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
+    members = first.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets, drop_buckets = settle(members.join(shared, "bucket"))
     central = buckets.groupBy("node").agg(F.sum("size").alias("score"))
     sets, drop_sets = settle(sets_of(docs, central.select("node"), size))
     hubs = buckets.join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "n")).alias("h"))
     hubs = hubs.select("bucket", (-F.col("h.first")).alias("hub"), F.col("h.n").alias("hub_n"))
-    stars, drop_stars = settle(buckets.join(hubs, "bucket").filter("node <> hub").select("hub", "node", "n", "hub_n").distinct())
+    stars = buckets.join(hubs, "bucket").filter("node <> hub").groupBy("hub", "node", "n", "hub_n").agg(F.max("size").alias("size"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / FAN)).cast("int")
+    stars, drop_stars = settle(stars.select("hub", "node", "n", "hub_n", salt.alias("salt")))
     drop_buckets()
     near = stars.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    links, drop_links = settle(confirmed(near.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent))
-    first, drop_first = components(links)
-    more, drop_more = settle(within(stars, first, sets, percent))
-    drop_first()
+    links, drop_links = settle(confirmed(near, sets, percent))
+    inner, drop_inner = components(links)
+    more, drop_more = settle(within(stars, inner, sets, percent))
+    drop_inner()
     labels, _ = components(links.unionByName(more))
-    for drop in (drop_sets, drop_stars, drop_links, drop_more):
+    alone, _ = settle(alone)
+    for drop in (drop_sets, drop_stars, drop_links, drop_more, drop_sketch):
         drop()
-    out = classes.join(labels, "node", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "node", "doc_id")).alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = classes.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("component_id"))
+    rows = rows.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -3,8 +3,12 @@
 A window of 35 words, wherever it starts, holds a whole block of 18 words of its document's own
 fixed grid. So the grid's blocks are the index, every rolling window of 18 words of every document
 is a probe, and a window of 35 words can only occur twice if a block inside it meets a second
-probe. Around the blocks that are hit, all windows of full length are compared by a 96-bit
-fingerprint; runs of repeated windows are the maximal repeats, and their words go.
+probe. Hits are extended: every window of full length that holds a hit block is compared by a 96-bit
+fingerprint, and runs of repeated windows are the maximal exact repeats, whose words go. Extension
+goes by windows, not from one pair of places to the next, since a frequent passage has too many pairs.
+
+Texts that another row repeats whole lose all their words without any comparison; one row of each
+stands for them where others are compared.
 
 Hashes travel sorted, as differences, packed by task and by range of the hash: a value that a task
 holds thousands of times travels once with a flag, so a frequent passage makes no large group, and
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, settle
+from .common import pick, pieces, settle, sifted
 from .wordhash import hashes, split, windows
 
 WINDOW = 35
@@ -47,20 +51,22 @@ def inflate(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def ranges(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where each of ``parts`` (a power of two) equal ranges of hashes begins among sorted values."""
-    edges = (np.arange(parts, dtype=np.uint64)) << np.uint64(bits - (parts.bit_length() - 1))
-    return np.append(np.searchsorted(values, edges), len(values))
-
-
-def key64(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def ranges(values: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``parts`` (a power of two) equal ranges of hashes sorted values lie in, and where each begins."""
+    of = (values >> np.uint64(bits - (parts.bit_length() - 1))).astype(np.int64)
+    begin = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[begin], np.append(begin, len(values))
 
 
 def key128(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def key64(key: bytes) -> int:
+    """Texts that share it by chance are compared at more places than they need be, no more."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -79,7 +85,7 @@ def probe_blobs(texts: list[str], parts: int) -> dict[str, list]:
         every.append(w)
         own = w[::BLOCK]
         blocks.append(own)
-        owners.append(np.full(len(own), key64(t), np.int64))
+        owners.append(np.full(len(own), key64(key128(t)), np.int64))
         numbers.append(np.arange(len(own), dtype=np.int32))
     out: dict[str, list] = {c.split()[0]: [] for c in PROBES.split(", ")}
     if not every:
@@ -89,11 +95,11 @@ def probe_blobs(texts: list[str], parts: int) -> dict[str, list]:
     b, o, n = np.concatenate(blocks), np.concatenate(owners), np.concatenate(numbers)
     order = np.argsort(b, kind="stable")
     b, o, n = b[order], o[order], n[order]
-    p_at, b_at = ranges(probes, PROBE_BITS, parts), ranges(b, PROBE_BITS, parts)
-    for part in range(parts):
-        i, j, k, m = p_at[part], p_at[part + 1], b_at[part], b_at[part + 1]
-        if i == j:
-            continue
+    which, at = ranges(probes, PROBE_BITS, parts)
+    # every block is a probe too, so its range is among them
+    edges = which.astype(np.uint64) << np.uint64(PROBE_BITS - (parts.bit_length() - 1))
+    b_at = np.append(np.searchsorted(b, edges), len(b))
+    for part, i, j, k, m in zip(which.tolist(), at[:-1], at[1:], b_at[:-1], b_at[1:], strict=True):
         out["part"].append(part)
         out["probes"].append(deflate(probes[i:j]))
         out["twice"].append(np.packbits(twice[i:j]).tobytes())
@@ -197,16 +203,25 @@ def distinct(f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 UNITS = "unit long, keys array<binary>, texts array<string>, blocks array<array<int>>"
 
 
-def hit_units(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """The texts that have hit blocks, packed into numbered units of bounded size."""
+def hit_units(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of ``wanted`` (key, key64, doc_id, blocks), packed into numbered units of bounded size."""
 
     def own_key(batches):
+        seen: set[tuple] = set()  # a task hands on each of its rows once
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([key64(t) for t in texts], pa.int64()), "text": texts})
-
-    keyed = docs.select("text").mapInArrow(own_key, "key long, text string")
-    joined = keyed.join(hits.hint("shuffle_hash"), "key").select("text", "blocks")
+            for part in pieces(batch, "text"):
+                out: dict[str, list] = {"key": [], "key64": [], "doc_id": [], "text": []}
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    key = key128(t or "")
+                    if (key, i) not in seen:
+                        seen.add((key, i))
+                        for name, v in (("key", key), ("key64", key64(key)), ("doc_id", i), ("text", t or "")):
+                            out[name].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA_KEYED)
+
+    keyed = sifted(docs.mapInArrow(own_key, "key binary, key64 long, doc_id long, text string"), F.col("key64"), wanted, F.col("key64"))
+    w = wanted.select(F.col("key").alias("w_key"), F.col("doc_id").alias("w_id"), "blocks").hint("shuffle_hash")
+    joined = keyed.join(w, (F.col("key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "blocks")
 
     def gather(batches):
         base = TaskContext.get().partitionId() << 32
@@ -222,6 +237,7 @@ def hit_units(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.mapInArrow(gather, UNITS)
 
 
+SCHEMA_KEYED = pa.schema([("key", pa.binary()), ("key64", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 SCHEMA_UNITS = pa.schema(
     [("unit", pa.int64()), ("keys", pa.list_(pa.binary())), ("texts", pa.list_(pa.string())), ("blocks", pa.list_(pa.list_(pa.int32())))]
 )
@@ -240,11 +256,10 @@ def removed(unit_rows: DataFrame, parts: int) -> DataFrame:
                 order, new = distinct(f1, f2)
                 twice = np.diff(np.append(new, len(order))) > 1
                 a, b = f1[order][new], f2[order][new]
-                at = ranges(a, 64, parts)
+                which, at = ranges(a, 64, parts)
                 rows = [
                     (r["unit"], p, deflate(a[i:j]), b[i:j].tobytes(), np.packbits(twice[i:j]).tobytes())
-                    for p, i, j in zip(range(parts), at[:-1], at[1:], strict=True)
-                    if j > i
+                    for p, i, j in zip(which.tolist(), at[:-1], at[1:], strict=True)
                 ]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA_ASKED.types, strict=True)], schema=SCHEMA_ASKED)
@@ -310,37 +325,48 @@ def dedup(docs: DataFrame) -> DataFrame:
     A window counts as repeated if its words also start anywhere else, in the same text, in
     another row, or in a row that repeats this one. Null and empty texts have no words; texts of
     fewer than 35 words lose none. Rows are told apart by their text, so null and repeated ids
-    are as good as any.
+    are as good as any. An empty table gives none; a long text is taken whole.
     """
     rows = pick(docs, "doc_id", "text")
     # ranges of hashes: in step with the input, so that one range fits a task
     parts = 256
     while parts < 2 * rows.rdd.getNumPartitions():
         parts *= 2
-    hits, drop_hits = settle(hit_blocks(rows, parts))
-    unit_rows, drop_units = settle(hit_units(rows, hits))
-    drop_hits()
-    lost, _ = settle(removed(unit_rows, parts).groupBy("key").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("kept_sha256")))
-    drop_units()
 
     def count(batches):
+        base, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                out = {"doc_id": part.column(0), "key": [], "n_words": [], "whole_sha256": []}
+                out = {"doc_id": part.column(0), "key": [], "key64": [], "n_words": [], "whole_sha256": []}
                 for t in part.column(1).to_pylist():
                     words = split(t)
-                    out["key"].append(key128(t or ""))
+                    # a text too short to lose anything gets a key of its own, so such rows never gather
+                    key = key128(t) if len(words) >= WINDOW else f"{base}:{made}".encode()
+                    made += 1
+                    out["key"].append(key)
+                    out["key64"].append(key64(key))
                     out["n_words"].append(len(words))
                     out["whole_sha256"].append(sha(words))
                 yield pa.RecordBatch.from_pydict(out, schema=SCHEMA_COUNTED)
 
-    counted = rows.mapInArrow(count, "doc_id long, key binary, n_words long, whole_sha256 string")
-    return counted.join(lost, "key", "left").select(
+    counted, _ = settle(rows.mapInArrow(count, "doc_id long, key binary, key64 long, n_words long, whole_sha256 string"))
+    texts = counted.filter(F.col("n_words") >= WINDOW).groupBy("key", "key64").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    hits, drop_hits = settle(hit_blocks(rows, parts))
+    wanted, drop_wanted = settle(texts.join(hits.withColumnRenamed("key", "key64"), "key64").select("key", "key64", "doc_id", "blocks"))
+    drop_hits()
+    unit_rows, drop_units = settle(hit_units(rows, wanted))
+    drop_wanted()
+    lost = removed(unit_rows, parts).groupBy("key").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("kept_sha256"))
+    told = texts.select("key", "copies").join(lost, "key", "left").filter("copies > 1 OR n_removed > 0")
+    told, _ = settle(told)
+    drop_units()
+    whole = F.col("copies") > 1
+    return counted.join(told, "key", "left").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
     )
 
 
-SCHEMA_COUNTED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("whole_sha256", pa.string())])
+SCHEMA_COUNTED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("key64", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string())])
