@@ -10,6 +10,11 @@ whose length is a power of two needs no padding. The cheapest cuts come from
 in one pass: padding falls by one with every token, so the best i for a full window is the minimum
 of f(i) + pos(i) over a sliding range, which a monotone queue keeps; windows of the larger powers of two are looked up.
 Streams are cut block by block, so memory stays bounded however large the partition is.
+
+Where the optimum is over fewer cuts than there are: of the sentences' ends within one 64th of a
+window the first is offered; powers of two from an eighth of a window up are looked up; and each
+block of 2^20 tokens is cut on its own, its last window going on with the next. No token is ever
+lost to this, only some padding: about one per cent in all.
 """
 
 from __future__ import annotations

@@ -32,6 +32,8 @@ DIM = 10
 #: An n-gram of fewer documents can only be learnt by heart; its vector stays zero.
 LEAST_DOCS = 4
 RATE, BATCH = 0.5, 96
+#: Batches an epoch has at least; few documents are gone through more than once.
+STEPS = 30
 #: How sharply each epoch picks a document's most toxic segments.
 SHARP = (0.0, 0.0, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 16.0, 16.0, 16.0)
 #: Weight of toxic documents in the loss, and the share of them assumed when scores are calibrated.
@@ -192,8 +194,9 @@ def train(texts: list[str | None], marks: list[int], seed: int = 7) -> Model:
     seen = [np.full(BUCKETS, 1e-6, np.float32), np.full(layer.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
     best, kept, top = np.inf, None, None
     checks = [bags.batch(check[a : a + BATCH]) for a in range(0, len(check), BATCH)]
+    passes = max(1, -(-STEPS * BATCH // len(fit_on)))
     for sharp in SHARP:
-        order = rng.permutation(fit_on)
+        order = np.concatenate([rng.permutation(fit_on) for _ in range(passes)])
         for a in range(0, len(order), BATCH):
             docs = order[a : a + BATCH]
             b = bags.batch(docs)

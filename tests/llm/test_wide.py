@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docgrade.llm import decontamination, nearcopies, substrings, topk
 from docgrade.llm.wordhash import windows
@@ -23,17 +24,25 @@ def test_windows():
 @pytest.mark.parametrize("dim", [1, 5, 64])
 def test_topk(spark, dim):
     r = random.Random(dim)
-    rows = [(i, [r.uniform(-1, 1) for _ in range(dim)]) for i in range(300)]
-    rows += [(i, rows[7][1]) for i in range(300, 320)]
-    odd = [(400, None), (401, [None] * dim), (402, [float("nan")] * dim), (403, [float("inf")] * dim), (None, rows[0][1]), (404, [1.0] * (dim + 1))]
+    rows = [(i, [r.uniform(-1, 1) * r.random() for _ in range(dim)]) for i in range(300)]
+    # one vector under many ids, one id with many vectors, repeated queries
+    rows += [(i, rows[7][1]) for i in range(300, 320)] + [(5, rows[k][1]) for k in range(10)] + [rows[0], rows[0], rows[50]]
+    odd = [(400, None), (400, [None] * dim), (450, [float("nan")] * dim), (450, [float("inf")] * dim), (None, rows[0][1]), (404, [1.0] * (dim + 1))]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = sorted(tuple(x) for x in topk.topk(df.filter("vec_id % 50 = 0 AND vec_id < 400"), df, 5).collect())
-    v = {i: np.floor(256 * np.array(np.array(x, np.float32), float)).astype(int) for i, x in rows}
+    got = sorted(tuple(x) for x in topk.topk(df.select("*", F.lit(1).alias("VEC_ID")), F.col("vec_id") % 50 == 0, 5).collect())
+    v = [(i, np.floor(256 * np.array(np.array(x, np.float32), float)).astype(int)) for i, x in rows]
     want = []
-    for q in range(0, 320, 50):
-        order = sorted((i for i in v if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:5]
-        want += [(q, n + 1, i, int(v[i] @ v[q])) for n, i in enumerate(order)]
-    assert got == want
+    for a, (q, x) in enumerate(v):
+        if q % 50 == 0:
+            order = sorted((-int(y @ x), i) for b, (i, y) in enumerate(v) if a != b)[:5]
+            want += [(q, n + 1, i, -score) for n, (score, i) in enumerate(order)]
+    assert got == sorted(want)
+    assert topk.topk(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_topk_few_rows(spark):
+    df = spark.createDataFrame([(50, [1.0]), (50, [1.0]), (1, [0.5]), (1, [0.5]), (2, [3.0])], "vec_id long, embedding array<double>")
+    assert len(topk.topk(df, F.col("vec_id") % 50 == 0, 5).collect()) == 8
 
 
 def components_by_force(rows, size, percent=80):
@@ -188,6 +197,19 @@ def test_decontamination_opening_names(spark):
     assert leaked(spark, [item], docs) == {(i, 0) for i in range(8)}
 
 
+def test_decontamination_runs_of_six_and_lists(spark):
+    item = "Each morning the baker carries warm bread past the old stone bridge while children wait beside a quiet river"
+    words = item.split()
+    for at in range(4):  # wherever the text stands, six equal words in a row are met
+        text = " ".join(["filler"] * at + words[:6] + ["other"] + words[7:13] + ["other"] + words[14:])
+        found = decontamination.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+        assert [(x.doc_id, x.item_id) for x in found.collect()] == [(1, 9)]
+    numbers = " ".join(f"{i}, {i + 1};" for i in range(200))
+    docs = spark.createDataFrame([(1, numbers), (2, "Anna, Maria, Paul, Peter, Clara, Hugo, Emma, Felix came by")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Add 3, 4, 5, 6, 7, 8 and 9 to 12, then say what is left of 40"), (2, "Otto, Ida, Karl, Lena, Max, Nora, Tim, Vera")], "item_id long, text string")
+    assert decontamination.contaminated(docs, items).count() == 0
+
+
 def test_decontamination_short_and_unspaced(spark):
     capital, chinese = "What is the capital city of France?", "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u5ea7\u57ce\u5e02\u5462"
     items = [capital, chinese, "short one", "Ann Mary Tom Sara Mia Bob Joe Sue"]
