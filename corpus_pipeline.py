@@ -7,11 +7,13 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrade.llm import decontamination, nearcopies, packing, pii, toxicity
-from docgrade.llm.common import settle, table
+from docgrade.llm.common import by_place, named, settle, table
 from docgrade.llm.queries import tokenizer_path
 
 
@@ -21,11 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays, once."""
-    found = nearcopies.groups(docs, size=5)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+
+    Rows that share an id stay or go with it; of those that share id and text one stays. Null, empty
+    and word-free texts and rows without an id stay.
+    """
+    marks = nearcopies.groups(docs, size=5).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    marks, _ = settle(marks.filter("NOT kept OR times > 1"))
+    flat, at = by_place(docs)
+    doc_id, text = at["doc_id"], at["text"]
+    gone = marks.select(F.col("doc_id").alias(doc_id), "kept")
+    once = flat.join(gone, doc_id, "left_anti").select(*flat.columns)
+    # ids are meant to be unique, so this is mostly nothing
+    again = flat.join(gone.filter("kept"), doc_id).withColumn("_text", F.md5(F.col(text).cast("binary"))).dropDuplicates([doc_id, "_text"])
+    return named(once.unionByName(again.select(*flat.columns)), docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    drop_last = None
+    drop_last: Callable[[], None] | None = None
     for _, stage in STAGES:
         docs, drop = settle(stage(spark, docs, sf_dir))
         if drop_last:
