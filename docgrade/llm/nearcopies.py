@@ -38,6 +38,7 @@ TRIES = 512
 #: Documents in a block that is held against another, and members of a hub that meet its set in one task.
 NODES = 256
 FAN = 512
+SPREAD = 32
 _draws: list[np.ndarray] = []
 
 
@@ -163,7 +164,10 @@ def within(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     sizes = sizes.filter("n_left > 0 AND n_left + n_in > 2").select(
         "hub", "hub_label", F.ceil(F.col("n_left") / NODES).cast("int").alias("left_blocks"), F.ceil(F.col("n_in") / NODES).cast("int").alias("in_blocks")
     )
-    rows = around.join(sizes, "hub").withColumn("left", F.col("label") != F.col("hub_label"))
+    # what is known of each hub with some left outside, a few numbers, stands in SPREAD places, so a hub's members need not meet in one
+    spread = F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")
+    sizes = sizes.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = around.withColumn("spread", spread).join(sizes, ["hub", "spread"]).drop("spread").withColumn("left", F.col("label") != F.col("hub_label"))
     left, inside = rows.filter("left"), rows.filter("NOT left")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     one = left.withColumn("i", block("left_blocks"))
