@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 
@@ -92,18 +93,37 @@ def relevant_excludes(needle: str, excludes: list[str]) -> list[str]:
     return [e for e in excludes if needle in e]
 
 
+def border_free(s: str) -> bool:
+    """No proper beginning is an end too, so occurrences never overlap."""
+    return not any(s.endswith(s[:k]) for k in range(1, len(s)))
+
+
+def subtractable(needle: str, excludes: list[str]) -> list[str] | None:
+    """The one exclude phrase whose count may be taken from the needle's, if the phrases allow that; None otherwise.
+
+    A phrase that holds another hides nothing more. The one left must hold the needle once, and
+    neither may overlap itself.
+    """
+    least = [e for e in dict.fromkeys(excludes) if not any(o != e and o in e for o in excludes)]
+    longer = [e for e in excludes if e not in least]
+    if len(least) == 1 and all(e.count(needle) == 1 for e in (*least, *longer)) and border_free(needle) and border_free(least[0]):
+        return least
+    return None
+
+
 def outside(hay: str, needle: str, excludes: list[str]) -> tuple[int, int]:
     """(count, first index or -1) of the needle where it does not lie wholly within an exclude phrase."""
-    spans = []
-    for e in excludes:
-        at = hay.find(e)
-        while at >= 0:
-            spans.append((at, at + len(e)))
-            at = hay.find(e, at + len(e))
+    spans = sorted((m.start(), m.end()) for e in excludes for m in re.finditer(re.escape(e), hay))
+    reach, ends = -1, []
+    for _, b in spans:  # among phrases that begin no later, the one that reaches furthest
+        reach = max(reach, b)
+        ends.append(reach)
+    starts = [a for a, _ in spans]
     count, first, at = 0, -1, hay.find(needle)
     while at >= 0:
         end = at + len(needle)
-        if not any(a <= at and end <= b for a, b in spans):
+        k = bisect.bisect_right(starts, at) - 1
+        if k < 0 or ends[k] < end:
             count += 1
             first = at if first < 0 else first
         at = hay.find(needle, end)
@@ -111,10 +131,12 @@ def outside(hay: str, needle: str, excludes: list[str]) -> tuple[int, int]:
 
 
 def count_outside(hay: Column, needle: str, excludes: list[str]) -> Column:
-    """A built-in count where no exclude matters, exact positions otherwise."""
+    """Built-in counts where the phrases allow it, exact positions otherwise, for texts that hold a phrase."""
     held = relevant_excludes(needle, excludes)
     if not held:
         return count_literal(hay, needle)
+    if single := subtractable(needle, held):
+        return count_literal(hay, needle) - count_literal(hay, single[0])
 
     @F.pandas_udf("int")
     def exact(texts: pd.Series) -> pd.Series:

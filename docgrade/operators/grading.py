@@ -53,8 +53,7 @@ def with_counts(docs: DataFrame, policy: Policy, text: str = "text") -> DataFram
     hay = F.lower(F.coalesce(F.col(text), F.lit("")))
     out = docs.withColumn("_hay", hay)
     labels = list(dict.fromkeys([r.label for r in policy.regex] + [x for c in policy.combos for x in (*c.all_of, *c.of)]))
-    today = F.lit("2026-01-01").cast("date")
-    return out.withColumns({f"_n_{label}": F.size(pii.DETECTORS[label].matches(F.coalesce(F.col(text), F.lit("")), today)) for label in labels})
+    return out.withColumns({f"_n_{label}": F.size(pii.DETECTORS[label].hits(F.coalesce(F.col(text), F.lit("")))) for label in labels})
 
 
 def pii_hits(policy: Policy) -> Column:

@@ -1,4 +1,4 @@
-"""Spans: detection with offsets, overlaps resolved by risk, windows over long texts, merged counts."""
+"""Spans: overlaps resolved by risk, windows over long texts, merged counts. ``functions.pii.detect`` makes them."""
 
 from __future__ import annotations
 
@@ -9,18 +9,6 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<label:string,start:int,end:int,risk:int,conf:double>>"
 
 
-def occurrences(text: Column, values: Column, label: str, risk: int, conf: float) -> Column:
-    """Offsets of matches given in order: each is looked for behind the one before it."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc, v):
-        at = F.locate_after(text, v, acc["at"]) if hasattr(F, "locate_after") else F.call_function("locate", v, text, acc["at"])
-        span = F.struct(F.lit(label).alias("label"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(v)).cast("int").alias("end"), F.lit(risk).alias("risk"), F.lit(float(conf)).alias("conf"))
-        return F.struct((at + F.length(v)).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["spans"])
-
-
 def resolve(spans: Column) -> Column:
     """Greedy by risk, confidence and length falling, then start; what is kept never overlaps."""
     keyed = F.transform(

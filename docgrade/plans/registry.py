@@ -108,8 +108,10 @@ def term_scan(spark, sf_dir):
 # ---------------------------------------------------------------- personal data
 
 EMAIL_SQL = r"list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'), lambda x: NOT contains(x, '..') AND NOT starts_with(x, '.') AND NOT contains(x, '.@'))"
-IP_SQL = r"""list_filter(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)', 1), lambda x: len(list_filter(str_split(x, '.'), lambda o: CAST(o AS INT) > 255)) = 0
- AND CAST(str_split(x, '.')[1] AS INT) NOT IN (0, 127) AND CAST(str_split(x, '.')[1] AS INT) < 224 AND NOT starts_with(x, '169.254.') AND NOT starts_with(x, '192.0.2.') AND NOT starts_with(x, '198.51.100.') AND NOT starts_with(x, '203.0.113.'))"""
+# versions and sections go first, so that what is left is judged by its own characters
+NO_ADDRESS_SQL = rf"regexp_replace(regexp_replace(text, '(?i)(?:{pii.words(*pii.NO_ADDRESS_BEFORE)})\s*[.·:]?\s*(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}', 'x', 'g'), '(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?i:\s*(?:{pii.words(*pii.NO_ADDRESS_AFTER)}))', 'x', 'g')"
+IP_SQL = r"""list_filter(regexp_extract_all(NO_ADDRESS, '(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)', 1), lambda x: len(list_filter(str_split(x, '.'), lambda o: CAST(o AS INT) > 255)) = 0
+ AND CAST(str_split(x, '.')[1] AS INT) NOT IN (0, 127) AND CAST(str_split(x, '.')[1] AS INT) < 224 AND NOT starts_with(x, '169.254.') AND NOT starts_with(x, '192.0.2.') AND NOT starts_with(x, '198.51.100.') AND NOT starts_with(x, '203.0.113.'))""".replace("NO_ADDRESS", NO_ADDRESS_SQL)
 LUHN = "list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[len(x) - i + 1] AS INT) ELSE CAST(x[len(x) - i + 1] AS INT) * 2 - CASE WHEN CAST(x[len(x) - i + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 CARD_SQL = f"list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: len(x) BETWEEN 13 AND 19 AND x[1] IN ('2', '3', '4', '5', '6', '9') AND (len(x) <> 13 OR x[1] = '4') AND (len(x) <> 15 OR x[1:2] IN ('34', '37')) AND {LUHN})"
 
@@ -132,7 +134,7 @@ _matches("CARD", CARD_SQL)
     r"SELECT page_id, len(regexp_extract_all(html, '(?i)https?://[^\s<>\"''`)\]}]*[^\s<>\"''`)\]}.,;:!?]')) AS n_in_html, len(regexp_extract_all(url, '(?i)https?://[^\s<>\"''`)\]}]*[^\s<>\"''`)\]}.,;:!?]')) AS n_in_url FROM pages"
 )
 def pii_url(spark, sf_dir):
-    n = lambda c: F.size(pii.DETECTORS["URL"].matches(F.col(c))).cast("long")
+    n = lambda c: F.size(pii.DETECTORS["URL"].hits(F.col(c))).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", n("html").alias("n_in_html"), n("url").alias("n_in_url"))
 
 
@@ -141,7 +143,7 @@ COUNTS_SQL = f"SELECT doc_id, lang, source, text, len({EMAIL_SQL}) AS n_email, l
 
 def counted(spark, sf_dir, *keep: str) -> DataFrame:
     labels = {"EMAIL": "n_email", "IP": "n_ip", "CARD": "n_card"}
-    return table(spark, sf_dir, "documents").select("doc_id", *keep, *[F.size(pii.DETECTORS[k].matches(F.col("text"))).cast("long").alias(n) for k, n in labels.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", *keep, *[F.size(pii.DETECTORS[k].hits(F.col("text"))).cast("long").alias(n) for k, n in labels.items()])
 
 
 @query(
@@ -173,9 +175,7 @@ def pii_cap(spark, sf_dir):
 
 @query()
 def pii_span_resolution(spark, sf_dir):
-    t = F.col("text")
-    each = [P.occurrences(t, d.matches(t), d.label, d.risk, d.confidence) for d in (pii.DETECTORS[k] for k in ("EMAIL", "IP", "CARD", "PHONE"))]
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(P.resolve(F.concat(*each))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(P.resolve(pii.detect(F.col("text")))))
 
 
 @query(

@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tags whose content is dropped, tags that end a line.
-DROP = frozenset(("script", "style", "head", "noscript"))
-BLOCK = frozenset("p div br li ul ol tr table section article header footer h1 h2 h3 h4 h5 h6 blockquote pre hr td".split())
+#: Tags whose content is dropped, tags with a line end on both sides (cells too: values of a row must not run together).
+DROP = frozenset("script style head noscript".split())
+BLOCK = frozenset("p div br tr td th li table h1 h2 h3 h4 h5 h6 ul ol section article header footer hr".split())
 
 
 class _Text(HTMLParser):

@@ -1,3 +1,5 @@
+import random
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,11 +70,53 @@ def test_resolution(spark, spans, kept):
     assert [(x["start"], x["end"]) for x in rows.select(S.resolve(F.col("s")).alias("r")).first().r] == kept
 
 
-def test_occurrences_keep_offsets(spark):
-    d = P.DETECTORS["EMAIL"]
-    rows = spark.createDataFrame([("x a@b.kr a@b.kr",)], "t string")
-    got = rows.select(S.occurrences(F.col("t"), d.matches(F.col("t")), "EMAIL", 3, 1.0).alias("s")).first().s
-    assert [(x["start"], x["end"]) for x in got] == [(2, 8), (9, 15)]
+def spans_of(spark, label, text):
+    rows = spark.createDataFrame([(text,)], "t string")
+    return [(x["start"], x["end"]) for x in rows.select(P.DETECTORS[label].spans(F.col("t")).alias("s")).first().s]
+
+
+def test_spans_are_where_the_pattern_matched(spark):
+    assert spans_of(spark, "EMAIL", "x a@b.kr a@b.kr") == [(2, 8), (9, 15)]
+    # the same value in and out of context
+    assert spans_of(spark, "IP", "version 8.8.8.8 then 8.8.8.8") == [(21, 28)]
+    assert spans_of(spark, "IP", "8.8.8.8, 8.8.8.8 build 8.8.8.8 9.9.9.9") == [(0, 7), (31, 38)]
+    assert spans_of(spark, "CARD", "4539148803436467 4539148803436468 4539148803436467") == [(0, 16), (34, 50)]
+    assert spans_of(spark, "IP", "") == [] and spans_of(spark, "IP", "none") == []
+
+
+def test_spans_and_resolution_by_force(spark):
+    r = random.Random(3)
+    bits = ["8.8.8.8", "version ", "4539148803436467", "a@b.kr", "010-1234-5678", "900101-1234568", " ", ", ", "x", "build", "1", "110-123-456789", "계좌 ", "http://a.b/010-1234-5678"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    every = P.detect(F.col("t"))
+    for row in df.select("t", every.alias("every"), S.resolve(every).alias("kept")).collect():
+        # by force: greedy over all, and every span is a match of its own detector's pattern at that very place
+        order = sorted(row.every, key=lambda s: (-s.risk, -s.conf, s.start - s.end, s.start))
+        kept = []
+        for s in order:
+            if not any(k.start < s.end and s.start < k.end for k in kept):
+                kept.append(s)
+        assert [tuple(s) for s in row.kept] == [tuple(s) for s in sorted(kept, key=lambda s: s.start)]
+        for s in row.every:
+            shape = P.DETECTORS[s.label].shapes[0]
+            if s.label in ("IP", "EMAIL", "CARD", "PHONE"):
+                assert any(m.span() == (s.start, s.end) for m in re.finditer(shape.pattern, row.t)), (row.t, s)
+
+
+MORE = [
+    ("전화 070-1234-5678", "PHONE", 1), ("전화 034-123-4567", "PHONE", 0), ("0082-10-1234-5678", "PHONE", 1), ("+82-(0)2-123-4567", "PHONE", 1),
+    ("바코드 8801019876545", "RRN", 0), ("0900101-1234568", "RRN", 1), ("00900101-1234568", "RRN", 0), ("7408212331565", "RRN", 1),
+    ("12가3456 원", "VEHICLE", 0), ("12외3456", "VEHICLE", 1), ("2020헌가12", "COURT_CASE", 1), ("국민은행 110123456789", "ACCOUNT", 1), ("110-123-456789 신한", "ACCOUNT", 1), ("110-123-456789", "ACCOUNT", 0),
+    ("미국인은 왔다", "NATIONALITY", 1), ("프랑스에서 왔다", "NATIONALITY", 1), ("사람은 왔다", "NATIONALITY", 0), ("1:2:3", "IPV6", 0), ("2001:db8::8:800:200c:417a", "IPV6", 1), ("1:2:3:4:5:6:7:8", "IPV6", 1), ("1::2::3", "IPV6", 0),
+    ("그림 1.2.3.4", "IP", 0), ("1.2.3.4 버전", "IP", 0), ("접속 1.2.3.4 에서", "IP", 1), ("9789587081780", "CORP_REG", 0),
+]
+
+
+def test_more(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(MORE)], "i int, t string")
+    got = {r.i: {x["label"]: x["count"] for x in r.c} for r in rows.select("i", P.counts(F.col("t"), list(P.DETECTORS)).alias("c")).collect()}
+    assert [(t, k, n, got[i][k]) for i, (t, k, n) in enumerate(MORE) if got[i][k] != n] == []
 
 
 def test_merged(spark):

@@ -41,3 +41,9 @@ def test_greedy_and_allocate():
     assert V.greedy_distinct([1, 2, 3], v, [], 0.985) == [1, 3]
     out = R.allocate({"a": 100, "b": 4, "c": 1}, 20, 1)
     assert sum(out.values()) == 20 and out["c"] == 1 and out["b"] <= 4
+
+
+def test_cells_stand_apart():
+    row = "<table><tr><th>900101-1234568</th><th>010-1234-5678</th></tr><tr><td>a</td><td>b</td></tr></table>"
+    assert E.html_to_text(row).split("\n") == ["900101-1234568", "010-1234-5678", "a", "b"]
+    assert E.html_to_text("<p>x<script>y</script>z</p><noscript>n</noscript>&amp;<pre>k</pre>") == "xz\n&k"

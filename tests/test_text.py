@@ -42,3 +42,25 @@ def test_outside_without_excludes_is_count():
     for _ in range(500):
         hay = "".join(r.choice("ab") for _ in range(r.randint(0, 15)))
         assert T.outside(hay, "ab", [])[0] == hay.count("ab")
+
+
+def test_outside_by_force():
+    r = random.Random(2)
+    for _ in range(2000):
+        hay = "".join(r.choice("abc") for _ in range(r.randint(0, 20)))
+        needle = r.choice(["a", "ab", "bc", "aa"])
+        excludes = T.relevant_excludes(needle, ["".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 4))])
+        hidden = []
+        for e in excludes:
+            at = hay.find(e)
+            while at >= 0:
+                hidden.append((at, at + len(e)))
+                at = hay.find(e, at + len(e))
+        found, at = [], hay.find(needle)
+        while at >= 0:
+            if not any(a <= at and at + len(needle) <= b for a, b in hidden):
+                found.append(at)
+            at = hay.find(needle, at + len(needle))
+        assert T.outside(hay, needle, excludes) == (len(found), found[0] if found else -1)
+        if excludes and (single := T.subtractable(needle, excludes)):
+            assert hay.count(needle) - hay.count(single[0]) == len(found), (hay, needle, excludes)
