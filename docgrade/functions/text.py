@@ -77,7 +77,7 @@ def count_word(hay: Column, needle: str) -> Column:
     """An ASCII term counts as a word, any other as a part of text."""
     if ASCII_TERM.fullmatch(needle):
         quoted = re.sub(r"([^0-9A-Za-z ])", r"\\\1", needle)
-        return F.regexp_count(hay, F.lit(rf"\b{quoted}\b"))
+        return F.regexp_count(hay, F.lit(rf"(?U)\b{quoted}\b"))
     return count_literal(hay, needle)
 
 

@@ -13,9 +13,9 @@ def words(text: Column, min_length: int = 3) -> Column:
     return F.array_distinct(F.filter(each, lambda w: (F.length(w) >= min_length) & ~w.rlike("[0-9]")))
 
 
-def cluster_weight(folder: str) -> Column:
-    """A folder counts once, however many documents it holds."""
-    return 1.0 / F.count("*").over(W.partitionBy(folder))
+def cluster_weights(docs: DataFrame, *by: str) -> DataFrame:
+    """by..., w: a folder counts once, however many documents it holds. Summed before the shuffle, whatever a folder's size."""
+    return docs.groupBy(*by).agg((1.0 / F.count("*")).alias("w"))
 
 
 def log_odds(df_pos: Column, df_neg: Column, n_pos: Column, n_neg: Column) -> Column:
@@ -29,12 +29,17 @@ def weighted_frequencies(docs: DataFrame, positive: Column, folder: str, rejecte
     Negatives are counted only for terms that some positive document has: a semi-join before the
     large side is summed.
     """
-    w = docs.withColumn("pos", positive).withColumn("w", 1.0 / F.count("*").over(W.partitionBy(folder, "pos")))
-    w = w.withColumn("w", F.when(F.col("pos"), F.col("w")).otherwise(F.col("w") * rejected_weight))
-    totals = w.agg(F.sum(F.when(F.col("pos"), F.col("w")).otherwise(0.0)).alias("n_pos"), F.sum(F.when(~F.col("pos"), F.col("w")).otherwise(0.0)).alias("n_neg"))
-    long = w.select("pos", "w", folder, F.explode(words(F.col("text"))).alias("term"))
-    pos = long.filter("pos").groupBy("term").agg(F.sum("w").alias("w_pos"), F.count("*").alias("docs"), F.countDistinct(folder).alias("folders"))
-    neg = long.filter("NOT pos").join(pos.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("w").alias("w_neg"))
+    # folders are few against documents, but their number is not bounded: Spark broadcasts their weights if they are small
+    marked = docs.withColumns({"pos": positive, folder: F.coalesce(folder, F.lit(""))})
+    long = marked.select("pos", folder, F.explode(words(F.col("text"))).alias("term"))
+    weights = cluster_weights(marked, folder, "pos").withColumn("w", F.when(F.col("pos"), F.col("w")).otherwise(F.col("w") * rejected_weight))
+    # each folder of either kind sums to its factor
+    sides = weights.groupBy("pos").agg(F.sum(F.when(F.col("pos"), 1.0).otherwise(rejected_weight)).alias("whole"))
+    totals = sides.agg(F.coalesce(F.sum(F.when(F.col("pos"), F.col("whole"))), F.lit(0.0)).alias("n_pos"), F.coalesce(F.sum(F.when(~F.col("pos"), F.col("whole"))), F.lit(0.0)).alias("n_neg"))
+    # documents of a term by folder first, so texts and weights never meet
+    counts = long.groupBy("term", folder, "pos").agg(F.count("*").alias("n")).join(weights.select(folder, "pos", "w"), [folder, "pos"])
+    pos = counts.filter("pos").groupBy("term").agg(F.sum(F.col("n") * F.col("w")).alias("w_pos"), F.sum("n").alias("docs"), F.count("*").alias("folders"))
+    neg = counts.filter("NOT pos").join(pos.select("term"), "term", "left_semi").groupBy("term").agg(F.sum(F.col("n") * F.col("w")).alias("w_neg"))
     out = pos.join(neg, "term", "left").join(F.broadcast(totals))
     df_pos = F.col("w_pos") / F.greatest("n_pos", F.lit(1e-12))
     df_neg = F.coalesce("w_neg", F.lit(0.0)) / F.greatest("n_neg", F.lit(1e-12))

@@ -26,7 +26,9 @@ DEMO_RULES = [
     ("B1", (), ("token", "password"), ("token", "password")),
     ("B2", ("mail",), ("mail",), ("mail", "example")),
 ]
-WEIGHTS = {"title": 0.7, "head": 0.5, "body": 0.4}
+WEIGHTS = {"title": 0.7, "head": 0.5, "body": 0.4, "name": 0.5}
+#: Formats whose first line is no title.
+UNTITLED = (".ppt", ".xls", ".xlsx")
 NODE = "dc_id string, parent string, ord int, title string"
 
 
@@ -75,18 +77,25 @@ def noisy_or(parts: Column) -> Column:
     return 1 - F.aggregate(parts, F.lit(1.0), lambda a, x: a * (1 - x))
 
 
-def candidates(docs: DataFrame, rules=DEMO_RULES, t_low: float = 0.30, min_distinct: int = 2, min_count: int = 2, text: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, rules=DEMO_RULES, t_low: float = 0.30, min_distinct: int = 2, min_count: int = 2, text: str = "text", file: str | None = None) -> DataFrame:
     """(columns of docs, dc_id, confidence, sources): scores of every rule that passes, long form.
 
-    A rule's evidence: a term in the first line, one among the first characters, or enough distinct
-    and total finds in the body; the body alone is not enough.
+    A rule's evidence: a term in the first line (but of spreadsheets and slides), one among the first
+    characters, one in the file's name, or enough distinct and total finds in the body; the body
+    alone is not enough. Title, head and name are also read without blanks. A rule is (node, title
+    terms, head terms, body terms) and may have name terms behind.
     """
+    name = F.lower(T.basename(F.coalesce(F.col(file), F.lit("")))) if file else F.lit("")
+    titled = ~F.lit(False)
+    for end in UNTITLED:
+        titled = titled & ~F.endswith(name, F.lit(end))
     hay = F.lower(F.coalesce(F.col(text), F.lit("")))
-    out = docs.withColumns({"_hay": hay, "_title": F.lower(T.first_line(F.coalesce(F.col(text), F.lit("")))), "_head": T.head(hay)})
+    out = docs.withColumns({"_hay": hay, "_title": F.lower(T.first_line(F.coalesce(F.col(text), F.lit("")))), "_head": T.head(hay), "_name": name})
     made = []
-    for node, title, head, body in rules:
-        in_title = sum((T.count_word(F.col("_title"), t) for t in title), F.lit(0)) > 0
-        in_head = sum((T.count_word(F.col("_head"), t) for t in head), F.lit(0)) > 0
+    for node, title, head, body, *names in rules:
+        in_title = titled & (sum((T.count_compact(F.col("_title"), t) for t in title), F.lit(0)) > 0)
+        in_head = sum((T.count_compact(F.col("_head"), t) for t in head), F.lit(0)) > 0
+        in_name = sum((T.count_compact(F.col("_name"), t) for t in (names[0] if names else ())), F.lit(0)) > 0
         found = [T.count_word(F.col("_hay"), t) for t in body]
         distinct = sum(((n > 0).cast("int") for n in found), F.lit(0))
         in_body = (distinct >= min_distinct) & (sum(found, F.lit(0)) >= min_count)
@@ -94,22 +103,25 @@ def candidates(docs: DataFrame, rules=DEMO_RULES, t_low: float = 0.30, min_disti
             F.when(in_title, F.struct(F.lit("title").alias("source"), F.lit(WEIGHTS["title"]).alias("c"))),
             F.when(in_head, F.struct(F.lit("head").alias("source"), F.lit(WEIGHTS["head"]).alias("c"))),
             F.when(in_body, F.struct(F.lit("body").alias("source"), F.lit(WEIGHTS["body"]).alias("c"))),
+            F.when(in_name, F.struct(F.lit("name").alias("source"), F.lit(WEIGHTS["name"]).alias("c"))),
         )
         parts = F.filter(each, lambda x: x.isNotNull())
         score = noisy_or(F.transform(parts, lambda x: x["c"]))
         made.append(
             F.when(
-                (in_title | in_head) & (score >= t_low),
+                (in_title | in_head | in_name) & (score >= t_low),
                 F.struct(F.lit(node).alias("dc_id"), score.alias("confidence"), F.transform(parts, lambda x: x["source"]).alias("sources")),
             )
         )
-    out = out.withColumn("_c", F.filter(F.array(*made), lambda x: x.isNotNull())).drop("_hay", "_title", "_head")
+    out = out.withColumn("_c", F.filter(F.array(*made), lambda x: x.isNotNull())).drop("_hay", "_title", "_head", "_name")
     return out.select(*docs.columns, F.inline("_c"))
 
 
-def merge(cands: DataFrame, key: str) -> DataFrame:
-    """One row for each document and node: sources together, the strictly higher score's confidence."""
-    return cands.groupBy(key, "dc_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+def merge(cands: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row for each document and node: sources together; of the rows the strictly higher score's evidence, the first (by ``order``) on ties."""
+    first = F.struct("confidence", -F.col(order)) if order else F.col("confidence")
+    kept = [F.max_by("sources", first).alias("evidence")]
+    return cands.groupBy(key, "dc_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), *kept)
 
 
 def absorb(cands: DataFrame, tree_closure: DataFrame, key: str) -> DataFrame:
@@ -132,10 +144,68 @@ def cross_branch(cands: DataFrame, tree_closure: DataFrame, key: str) -> DataFra
     return cands.join(F.broadcast(roots), "dc_id").groupBy(key).agg(F.sort_array(F.collect_set("root")).alias("roots")).filter(F.size("roots") > 1)
 
 
-def embed_merge(cands: DataFrame, embedded: DataFrame, key: str, cap: float = 0.6) -> DataFrame:
-    """New nodes at most at ``cap``; a node that rules found too rises to the embedding's score, uncapped."""
+def embed_merge(cands: DataFrame, embedded: DataFrame, key: str, cap: float = 0.6, tree: DataFrame | None = None) -> DataFrame:
+    """New nodes at most at ``cap``; a node that rules found too rises to the embedding's score, uncapped.
+
+    Nodes that the tree does not hold are left out of what is embedded.
+    """
+    if tree is not None:
+        embedded = embedded.join(tree.select("dc_id"), "dc_id", "left_semi")
     e = embedded.select(key, "dc_id", F.col("confidence").alias("e"))
     both = cands.select(key, "dc_id", "confidence").join(e, [key, "dc_id"], "full")
     stage = F.when(F.col("confidence").isNull(), "embed").when(F.col("e").isNull(), "rule").otherwise("both")
     value = F.when(F.col("confidence").isNull(), F.least("e", F.lit(cap))).otherwise(F.greatest("confidence", F.coalesce("e", "confidence")))
     return both.select(key, "dc_id", value.alias("confidence"), stage.alias("stage"))
+
+
+def or_by_name(cands: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Candidates by rules, and those by the file's name for documents in which no rule fired."""
+    rest = named.join(cands.select(key).distinct(), key, "left_anti").select(key, "dc_id", "confidence", F.array(F.lit("name_head")).alias("sources"), F.lit(True).alias("review"))
+    return cands.select(key, "dc_id", "confidence", "sources", F.lit(False).alias("review")).unionByName(rest)
+
+
+def drawers(tree: DataFrame) -> DataFrame:
+    """Roots with children: they hold other types and carry no rule."""
+    parents = tree.filter("parent IS NOT NULL").select(F.col("parent").alias("dc_id")).distinct()
+    return tree.filter("parent IS NULL").join(parents, "dc_id", "left_semi")
+
+
+def ruled(tree: DataFrame) -> DataFrame:
+    """The nodes that may carry a rule."""
+    return tree.join(drawers(tree).select("dc_id"), "dc_id", "left_anti")
+
+
+STRATEGIES = {"doctype": ("top_n",), "security": ()}
+
+
+def conflict_override(spec: str) -> dict[str, tuple[str, int]]:
+    """``doctype=top_n:3``: how an axis resolves several labels. The security axis always takes the highest grade."""
+    out = {}
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        axis, _, rest = part.partition("=")
+        name, _, n = rest.partition(":")
+        if axis not in STRATEGIES:
+            raise ValueError(f"no axis {axis!r}")
+        if not STRATEGIES[axis]:
+            raise ValueError(f"the strategy of the {axis} axis is fixed")
+        if name not in STRATEGIES[axis] or not n.isdigit() or int(n) < 1:
+            raise ValueError(f"{axis}: {rest!r} is no strategy")
+        out[axis] = (name, int(n))
+    return out
+
+
+EXPORTED = "dc_id string, parent_dc_id string, order_num int, title string"
+
+
+def from_export(nodes_: DataFrame) -> DataFrame:
+    """The tree of an exported list of nodes (dc_id, parent_dc_id, order_num, title); an empty parent is none."""
+    return nodes_.select("dc_id", F.nullif(F.col("parent_dc_id"), F.lit("")).alias("parent"), F.coalesce("order_num", F.lit(0)).alias("ord"), "title")
+
+
+def from_paths(rules: DataFrame) -> DataFrame:
+    """The tree that rules' paths imply: path_ids (ids from the root) beside path (titles joined by " > ")."""
+    steps = F.arrays_zip(F.col("path_ids").alias("id"), F.split("path", " > ").alias("title"))
+    rows = rules.select("path_ids", F.posexplode(steps).alias("at", "s"))
+    rows = rows.select(F.col("s.id").alias("dc_id"), F.get("path_ids", F.col("at") - 1).alias("parent"), F.col("at").alias("depth"), F.col("s.title").alias("title"))
+    one = rows.filter("dc_id IS NOT NULL").groupBy("dc_id").agg(F.min_by(F.struct("parent", "depth", "title"), F.struct("depth", "title")).alias("n"))
+    return one.select("dc_id", "n.parent", F.col("n.depth").alias("ord"), "n.title")

@@ -1,18 +1,23 @@
 """Vectors: cosine, nearest neighbours, label propagation, near-duplicate and conflicting pairs.
 
-Neighbours are found block by block: the smaller side is packed into blocks of bounded size, every
-block meets every part of the other side in an equi-join, and products are taken as matrices.
+Neighbours are found on a grid of cells: vectors travel packed as bytes, a cell holds one group of
+queries of bounded size and takes seeds block by block as a stream, products are taken as matrices and
+cut to the k best before anything is shuffled. A vector travels once for each group of the other side.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Bytes of vectors in a block, and in the group that a cell holds.
+BLOCK_BYTES, GROUP_BYTES = 2 << 20, 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,43 +53,119 @@ def dimensions(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.groupBy(F.size(column).alias("dim")).agg(F.count("*").alias("n"))
 
 
-def _blocks(df: DataFrame, id_col: str, column: str, size: int, keep: list[str]) -> DataFrame:
-    """block, rows: numbered groups of at most about ``size`` (id, unit vector, kept columns)."""
-    n = df.count()
-    many = max(1, -(-n // size))
-    row = F.struct(F.col(id_col).alias("id"), unit(F.col(column)).alias("v"), *keep)
-    return df.filter(F.col(column).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(many)).alias("block")).agg(F.collect_list(row).alias("rows"))
+PACKED = "dim int, block long, n int, ids binary, v binary"
 
 
-def neighbours(queries: DataFrame, seeds: DataFrame, id_col: str, column: str, k: int, least: float | None = None, other_only: bool = False) -> DataFrame:
-    """query, seed, sim, rank: the k most similar seeds (ties to the smaller id), or all of at least ``least``.
+def packed(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """Blocks of unit vectors, one dimension each. Null ids and vectors, empty ones and null or non-finite components take no part."""
+    whole = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.filter(F.col(id_col).isNotNull() & (F.size(column) > 0) & whole).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
 
-    other_only leaves out pairs of a vector with itself.
+    def run(batches):
+        base, made, held = TaskContext.get().partitionId() << 32, 0, {}
+        for batch in batches:
+            v = batch.column(1)
+            sizes, flat, ids = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), batch.column(0).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for dim in np.unique(sizes).tolist():
+                own, most = np.flatnonzero(sizes == dim), max(1, BLOCK_BYTES // (8 * dim))
+                for a in range(0, len(own), most):
+                    some = own[a : a + most]
+                    held.setdefault(dim, []).append((ids[some], flat[starts[some][:, None] + np.arange(dim)]))
+                    if sum(len(h[0]) for h in held[dim]) >= most:
+                        yield block(dim, base + made, held.pop(dim))
+                        made += 1
+        for dim, parts in held.items():
+            yield block(dim, base + made, parts)
+            made += 1
+
+    def block(dim: int, number: int, parts: list) -> pa.RecordBatch:
+        ids, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        length = np.sqrt((m**2).sum(axis=1))
+        m = m / np.where(length == 0, 1.0, length)[:, None]
+        cells = [dim, number, len(ids), ids.astype(np.int64).tobytes(), m.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["dim", "block", "n", "ids", "v"])
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"], float).reshape(r["n"], r["dim"])
+
+
+def grid(held: DataFrame, streamed: DataFrame, id_col: str, column: str, visit, schema: str, same: bool = False) -> DataFrame:
+    """``visit(stream of (dim, ids, vectors), held by dim)`` on every cell, giving record batches.
+
+    With ``same`` both sides are one table: of two groups only one order is visited, and a group
+    meets itself.
     """
-    q = _blocks(queries, id_col, column, BLOCK, []).withColumnRenamed("rows", "q")
-    s = _blocks(seeds, id_col, column, BLOCK, []).withColumnRenamed("rows", "s").withColumnRenamed("block", "seed_block")
-    numbers = s.select("seed_block").agg(F.collect_list("seed_block").alias("all"))
-    pairs = q.join(F.broadcast(numbers)).select("block", "q", F.explode("all").alias("seed_block")).join(s, "seed_block").select("q", "s")
+    total = held.select(F.sum(F.size(column).cast("long") * 8)).first()[0] or 0
+    groups = max(1, -(-total // GROUP_BYTES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    keep = ["dim", "block", "n", "ids", "v"]
+    if same:
+        rows = packed(held, id_col, column).withColumn("g", own(groups)).withColumn("o", each(groups))
+        cells = rows.select(F.least("g", "o").alias("g"), F.greatest("g", "o").alias("h"), (F.col("g") > F.col("o")).cast("int").alias("side"), *keep)
+        streams = groups
+    else:
+        slots = 2 * held.sparkSession.sparkContext.defaultParallelism
+        streams = max(1, -(-slots // groups))
+        a = packed(held, id_col, column).select(own(groups).alias("g"), each(streams).alias("h"), F.lit(0).alias("side"), *keep)
+        b = packed(streamed, id_col, column).select(each(groups).alias("g"), own(streams).alias("h"), F.lit(1).alias("side"), *keep)
+        cells = a.unionByName(b)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                q_ids, s_ids = np.array([x["id"] for x in a]), np.array([x["id"] for x in b])
-                sims = np.array([x["v"] for x in a]) @ np.array([x["v"] for x in b]).T
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+        for (g, h), mine in itertools.groupby(rows, key=lambda r: (r["g"], r["h"])):
+            parts: dict[int, list] = {}
+            rest = []
+            for r in mine:
+                if r["side"]:
+                    rest = itertools.chain([r], mine)
+                    break
+                parts.setdefault(r["dim"], []).append(unpacked(r))
+            by_dim = {d: tuple(np.concatenate(x) for x in zip(*p, strict=True)) for d, p in parts.items()}
+            own_ = ((d, *x) for d, p in parts.items() for x in p) if same and g == h else ()
+            yield from visit(itertools.chain(own_, ((r["dim"], *unpacked(r)) for r in rest)), by_dim)
+
+    return cells.repartition(groups * streams, "g", "h").sortWithinPartitions("g", "h", "side", "block").mapInArrow(run, schema)
+
+
+def neighbours(queries: DataFrame, seeds: DataFrame, id_col: str, column: str, k: int, other_only: bool = False) -> DataFrame:
+    """query, seed, sim, rank: the k most similar seeds of the query's dimension, ties (to nine digits) to the smaller id.
+
+    other_only leaves out pairs of one id. Vectors that are null or empty or hold null or non-finite
+    components take no part; the zero vector is like nothing.
+    """
+
+    def visit(stream, held):
+        best = {d: (np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)) for d, (ids, _) in held.items()}
+        for dim, ids, v in stream:
+            if dim not in held:
+                continue
+            q_ids, q = held[dim]
+            for a in range(0, len(q_ids), 1024):
+                sims = q[a : a + 1024] @ v.T
                 if other_only:
-                    sims[q_ids[:, None] == s_ids[None]] = -np.inf
-                for row, q_id in zip(sims, q_ids, strict=True):
-                    if least is not None:
-                        at = np.flatnonzero(row >= least - 1e-12)
-                    else:
-                        at = np.lexsort((s_ids, -row))[:k]
-                        at = at[np.isfinite(row[at])]
-                    yield pa.RecordBatch.from_pydict({"query": np.full(len(at), q_id), "seed": s_ids[at], "sim": row[at]})
-
-    found = pairs.mapInArrow(run, "query long, seed long, sim double")
-    if least is not None:
-        return found
+                    sims[q_ids[a : a + 1024, None] == ids[None]] = -np.inf
+                # cut and ranked by nine digits, given back as they are
+                like = np.round(sims, 9)
+                if sims.shape[1] > k:  # all that may be among the k best, ties included
+                    least = np.partition(like, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                    may = (like >= least[:, None]) & (like >= np.round(best[dim][0][a : a + 1024, -1:], 9))
+                else:
+                    may = np.ones(sims.shape, bool)
+                for j in np.flatnonzero(may.any(axis=1)):
+                    at = np.flatnonzero(may[j])
+                    s, i = np.concatenate([best[dim][0][a + j], sims[j, at]]), np.concatenate([best[dim][1][a + j], ids[at]])
+                    order = np.lexsort((i, -np.round(s, 9)))[:k]
+                    best[dim][0][a + j], best[dim][1][a + j] = s[order], i[order]
+        for d, (s, i) in best.items():
+            real = np.isfinite(s)
+            yield pa.RecordBatch.from_pydict({"query": np.repeat(held[d][0], k)[real.ravel()], "seed": i[real], "sim": s[real]})
+
+    found = grid(queries, seeds, id_col, column, visit, "query long, seed long, sim double")
     w = W.partitionBy("query").orderBy(F.round("sim", 9).desc(), "seed")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -121,9 +202,24 @@ def label_vote(near: DataFrame, labels: DataFrame, dup: float = 0.95, min_sim: f
 
 
 def near_duplicates(vectors: DataFrame, id_col: str, column: str, least: float) -> DataFrame:
-    """a < b, sim: pairs of at least that similarity."""
-    found = neighbours(vectors, vectors, id_col, column, 0, least=least, other_only=True)
-    return found.filter("query < seed").select(F.col("query").alias("a"), F.col("seed").alias("b"), "sim")
+    """a < b, sim: pairs of different ids of at least that similarity. Every two groups meet once."""
+
+    def visit(stream, held):
+        for dim, ids, v in stream:
+            if dim not in held:
+                continue
+            h_ids, h = held[dim]
+            for a in range(0, len(h_ids), 1024):
+                sims = h[a : a + 1024] @ v.T
+                i, j = np.nonzero(sims >= least - 1e-12)
+                x, y = h_ids[a : a + 1024][i], ids[j]
+                some = x != y
+                x, y, s = x[some], y[some], sims[i, j][some]
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "sim": s})
+
+    # a group that meets itself gives its pairs twice
+    return grid(vectors, vectors, id_col, column, visit, "a long, b long, sim double", same=True).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def conflicts(pairs: DataFrame, grades: DataFrame) -> DataFrame:
@@ -140,15 +236,33 @@ def chunk_windows(n: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("end")))
 
 
-def greedy_distinct(order: list[tuple], vectors: dict, existing: list, least: float) -> list:
-    """Ids taken in order unless as near as ``least`` to one that is there already, also one just taken."""
-    have = [np.asarray(v, float) for v in existing]
-    have = [v / (np.linalg.norm(v) or 1) for v in have]
-    out = []
-    for i in order:
-        v = np.asarray(vectors[i], float)
-        v = v / (np.linalg.norm(v) or 1)
-        if all(float(v @ h) < least for h in have):
-            out.append(i)
-            have.append(v)
-    return out
+def greedy_distinct(candidates: DataFrame, seeds: DataFrame, id_col: str, column: str, order: str, least: float = 0.985) -> DataFrame:
+    """id, verdict (added, no_vector, existing, near_seed, near_added): candidates taken in order unless
+    there already or as near as ``least`` to what is there, also to one just taken.
+
+    Candidates near a seed and pairs of near candidates are found on the grid; only these pairs, not
+    the vectors, go to the one ordered pass.
+    """
+    near = neighbours(candidates, seeds, id_col, column, 1).filter(F.round("sim", 9) >= least).select(F.col("query").alias(id_col), F.lit(True).alias("near_seed"))
+    there = seeds.select(F.col(id_col), F.lit(True).alias("there")).distinct()
+    pairs = near_duplicates(candidates, id_col, column, least)
+    both = pairs.select(F.col("a").alias(id_col), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias(id_col), F.col("a").alias("other")))
+    others = both.groupBy(id_col).agg(F.collect_set("other").alias("others"))
+    rows = candidates.select(id_col, F.col(order).alias("place"), F.col(column).isNull().alias("bare")).join(there, id_col, "left").join(near, id_col, "left").join(others, id_col, "left")
+    base = F.when(F.col("bare"), "no_vector").when(F.col("there"), "existing").when(F.col("near_seed"), "near_seed")
+    rows = rows.select(id_col, "place", "others", base.alias("verdict"))
+    # those without a near candidate are decided; the rest is a list of names and their near ones
+    free = rows.filter("verdict IS NOT NULL OR others IS NULL").select(id_col, F.coalesce("verdict", F.lit("added")).alias("verdict"))
+
+    def pick(batches):
+        taken: set = set()
+        for batch in batches:
+            out = []
+            for i, near_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append("near_added" if taken.intersection(near_) else "added")
+                if out[-1] == "added":
+                    taken.add(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "verdict"])
+
+    bound = rows.filter("verdict IS NULL AND others IS NOT NULL").repartition(1).sortWithinPartitions("place", id_col).select(F.col(id_col).cast("long").alias(id_col), "others")
+    return free.unionByName(bound.mapInArrow(pick, f"{id_col} long, verdict string"))

@@ -87,10 +87,14 @@ def literal_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[T.count_literal(hay, t).cast("long").alias(f"n_{t}") for t in ("license", "the", "token")])
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '\bmit\b')) AS n_mit, len(regexp_extract_all(lower(text), '\bthe\b')) AS n_the FROM documents WHERE lang = 'en'")
+# a word's bounds in SQL: letters beyond ASCII are letters too
+WORD_SQL = r"len(list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\pN_]+'), lambda w: w = '{}'))"
+
+
+@query(f"SELECT doc_id, {WORD_SQL.format('mit')} AS n_mit, {WORD_SQL.format('the')} AS n_the FROM documents")
 def word_count(spark, sf_dir):
     hay = F.lower("text")
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", *[T.count_word(hay, t).cast("long").alias(f"n_{t}") for t in ("mit", "the")])
+    return table(spark, sf_dir, "documents").select("doc_id", *[T.count_word(hay, t).cast("long").alias(f"n_{t}") for t in ("mit", "the")])
 
 
 # 'licensed' holds 'license', so a hit counts only where no 'd' follows
@@ -335,10 +339,13 @@ def top_n_labels(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE {CLOSURE_SQL}, {CAND_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list(u.ancestor))), ',') AS roots FROM cand JOIN up u USING (dc_id) WHERE u.ancestor IN ('A', 'B') GROUP BY doc_id HAVING count(DISTINCT u.ancestor) > 1"
+    f"WITH RECURSIVE {CLOSURE_SQL}, cand AS (SELECT conv_id, CASE role WHEN 'user' THEN 'A11' WHEN 'assistant' THEN 'B1' ELSE 'A2' END AS dc_id FROM conversations) "
+    "SELECT conv_id, array_to_string(list_sort(list_distinct(list(u.ancestor))), ',') AS roots FROM cand JOIN up u USING (dc_id) WHERE u.ancestor IN ('A', 'B') GROUP BY conv_id HAVING count(DISTINCT u.ancestor) > 1"
 )
 def cross_branch(spark, sf_dir):
-    return X.cross_branch(typed(spark, sf_dir), X.closure(X.nodes(spark)), "doc_id").select("doc_id", F.array_join("roots", ",").alias("roots"))
+    node = F.when(F.col("role") == "user", "A11").when(F.col("role") == "assistant", "B1").otherwise("A2")
+    cands = table(spark, sf_dir, "conversations").select("conv_id", node.alias("dc_id"))
+    return X.cross_branch(cands, X.closure(X.nodes(spark)), "conv_id").select("conv_id", F.array_join("roots", ",").alias("roots"))
 
 
 @query(f"WITH RECURSIVE {CLOSURE_SQL} SELECT dc_id, ancestor, distance FROM up")
@@ -441,13 +448,13 @@ def seed_caps_single(spark, sf_dir):
 
 @query()
 def seed_caps_joint(spark, sf_dir):
-    seeds = table(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0").selectExpr("vec_id", "label", "vec_id % 13 AS folder")
+    seeds = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "vec_id % 13 AS folder")
     return S.capped_jointly(seeds, {"label": 5, "folder": 3}, "vec_id")
 
 
-@query("SELECT ['C', 'S', 'O'][label % 3 + 1] AS grade, count(*) AS n, count(*) < max(count(*)) OVER () / 4 AS weak FROM embeddings WHERE vec_id % 5 = 0 GROUP BY 1")
+@query("SELECT ['C', 'S', 'O'][label % 3 + 1] AS grade, count(*) AS n, count(*) < max(count(*)) OVER () / 4 AS weak FROM embeddings GROUP BY 1")
 def seed_balance(spark, sf_dir):
-    return S.balance(seed_grades(seeded(spark, sf_dir)[1]))
+    return S.balance(seed_grades(table(spark, sf_dir, "embeddings")))
 
 
 SEED_SQL = "seeds AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE md5(text) END AS hash, CASE WHEN doc_id % 3 = 0 THEN 'suspect' ELSE 'active' END AS state FROM documents WHERE doc_id % 4 = 0), recs AS (SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 0)"
@@ -571,9 +578,10 @@ def mined(spark, sf_dir) -> DataFrame:
     return M.weighted_frequencies(d, F.col("toxic") == 1, "source")
 
 
-@query("SELECT doc_id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY source), 9) AS w FROM documents")
+@query("SELECT source, toxic, round(1.0::DOUBLE / count(*), 9) AS w FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def cluster_weight(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(M.cluster_weight("source"), 9).alias("w"))
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return M.cluster_weights(d, "source", "toxic").withColumn("w", F.round("w", 9))
 
 
 @query(f"WITH {MINE_SQL} SELECT term, docs, folders, round(df_pos, 6) AS df_pos, round(df_neg, 6) AS df_neg, round(ln((df_pos + 0.5 / greatest(n_pos, 1)) / (df_neg + 0.5 / greatest(n_neg, 1))), 6) AS log_odds FROM f")

@@ -85,12 +85,17 @@ def identified(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def missing(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows without a file become records that say so."""
     there = files.select(key(F.col("path")).alias("key"))
-    return manifest.join(there, "key", "left_anti").select("path", F.col("sfile_id").alias("doc_id"), F.lit("file_missing").alias("kind"))
+    from .files import error
 
+    gone = manifest.join(there, "key", "left_anti")
+    return gone.select("path", F.col("sfile_id").alias("doc_id"), error("file_missing", F.lit("not there"), F.col("path")).alias("error"))
 
-def overrides(spark: SparkSession, path: str) -> DataFrame:
-    """The last line for each file of an append-only log; broken lines are skipped."""
+
+def overrides(spark: SparkSession, path: str, axis: str | None = None) -> DataFrame:
+    """The last line for each file of an append-only log, of one axis if asked; broken lines are skipped."""
     schema = "file string, doc_id string, hash string, axis string, new_grade string, confirmed array<string>, rejected array<string>, reviewer string, ts string"
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     rows = lines.select("line", F.from_json("value", schema).alias("o")).select("line", "o.*").filter("file IS NOT NULL")
+    if axis:
+        rows = rows.filter(F.coalesce("axis", F.lit("security")) == axis)
     return R.latest(rows, "file", "line", "doc_id", "hash", "axis", "new_grade", "reviewer", "ts")

@@ -36,9 +36,24 @@ def test_binary_files(spark, tmp_path):
     assert [(r.format, r.text, r.error) for r in got] == [("text", "hello", None), ("pdf", None, "no parser for pdf")]
 
 
-def test_greedy_and_allocate():
-    v = {1: [1, 0], 2: [0.999, 0.01], 3: [0, 1]}
-    assert V.greedy_distinct([1, 2, 3], v, [], 0.985) == [1, 3]
+def test_greedy(spark):
+    rows = [(1, [1.0, 0.0], 2), (2, [0.999, 0.01], 1), (3, [0.0, 1.0], 3), (4, None, 4), (5, [0.0, -1.0], 5), (6, [0.999, 0.02], 0), (9, [0.5, 0.5], 9)]
+    c = spark.createDataFrame(rows, "id long, v array<double>, place int")
+    seeds = spark.createDataFrame([(9, [0.0, -2.0])], "id long, v array<double>")
+    got = {r.id: r.verdict for r in V.greedy_distinct(c, seeds, "id", "v", "place", 0.985).collect()}
+    assert got == {6: "added", 2: "near_added", 1: "near_added", 3: "added", 4: "no_vector", 5: "near_seed", 9: "existing"}
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [0.0, 0.0]), (8, [2.0, 0.1]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.query, r.seed, r["rank"]) for r in V.neighbours(df, df, "id", "v", 1, other_only=True).collect())
+    assert got == [(1, 8, 1), (7, 1, 1), (8, 1, 1)]
+    assert [(r.a, r.b) for r in V.near_duplicates(df, "id", "v", 0.9).collect()] == [(1, 8)]
+    assert V.neighbours(df.limit(0), df, "id", "v", 3).count() == 0 and V.near_duplicates(df.limit(0), "id", "v", 0.5).count() == 0
+
+
+def test_allocate():
     out = R.allocate({"a": 100, "b": 4, "c": 1}, 20, 1)
     assert sum(out.values()) == 20 and out["c"] == 1 and out["b"] <= 4
 
