@@ -209,10 +209,10 @@ def graded(docs: DataFrame, policy: Policy, file: str | None = None, text: str =
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def record(graded_docs: DataFrame, id_col: str, ts: Column) -> DataFrame:
+def record(graded_docs: DataFrame, id_col: str | list[str], ts: Column) -> DataFrame:
     """The nested record: the decision on top, its reasons below."""
     return graded_docs.select(
-        F.col(id_col),
+        *([id_col] if isinstance(id_col, str) else id_col),
         F.col("security.grade").alias("grade"),
         F.struct(
             F.struct(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import path_key
 from ..operators import review as R
 
 MANIFEST = "path string, sfile_id string, hash string"
@@ -37,19 +38,7 @@ def globs(spec: str) -> list[str]:
     return list(dict.fromkeys(x for p in parts if p.strip() for x in braces(p.strip())))
 
 
-def key(path: Column) -> Column:
-    """Slashes one way, ``.`` and ``..`` resolved, drive letter in upper case; case kept otherwise."""
-    p = F.regexp_replace(path, r"\\", "/")
-    unc, rooted = p.startswith("//"), p.startswith("/")
-    steps = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
-    walked = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda a, s: F.when(s != "..", F.concat(a, F.array(s))).when((F.size(a) > 0) & (F.element_at(a, -1) != ".."), F.slice(a, 1, F.size(a) - 1)).otherwise(F.when(rooted, a).otherwise(F.concat(a, F.array(s)))),
-    )
-    joined = F.concat(F.when(unc, "//").when(rooted, "/").otherwise(""), F.array_join(walked, "/"))
-    drive = joined.rlike("^[a-z]:")
-    return F.when(drive, F.concat(F.upper(F.substring(joined, 1, 1)), F.expr("''"), F.substr(joined, F.lit(2)))).otherwise(joined)
+key = path_key
 
 
 def read(spark: SparkSession, path: str, form: str) -> DataFrame:
