@@ -66,7 +66,7 @@ def tokens(text: Column, suffixes: tuple[str, ...] = (), endings: tuple[str, ...
         kept = rf"(?:{'|'.join(suffixes)})$" if suffixes else None
         strip = lambda w: F.regexp_replace(w, bare, "")
         each = F.transform(each, (lambda w: F.when(w.rlike(kept), w).otherwise(strip(w))) if kept else strip)
-    junk = r"^[0-9]|^(?:.)\1*$|^(?:pdf|docx?|xlsx?|pptx?|hwpx?|txt|html?)$"
+    junk = r"^[0-9]|^(.)\1*$|^(?:pdf|docx?|xlsx?|pptx?|hwpx?|txt|html?)$"
     usable = lambda w: (F.length(w) >= least) & ~w.rlike(junk)
     out = F.filter(each, usable)
     if endings:

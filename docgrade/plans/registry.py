@@ -159,23 +159,6 @@ def pii_counts_by_label(spark, sf_dir):
     return long.filter("n > 0").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-@query(
-    f"WITH c AS ({COUNTS_SQL}) SELECT doc_id, n_email > 0 AND n_ip > 0 AS all_of, CAST(n_email > 0 AS INT) + CAST(n_ip > 0 AS INT) + CAST(n_card > 0 AS INT) AS types FROM c WHERE n_email + n_ip + n_card > 0"
-)
-def pii_combo_division(spark, sf_dir):
-    c = counted(spark, sf_dir).filter("n_email + n_ip + n_card > 0")
-    return c.selectExpr("doc_id", "n_email > 0 AND n_ip > 0 AS all_of", "CAST(n_email > 0 AS INT) + CAST(n_ip > 0 AS INT) + CAST(n_card > 0 AS INT) AS types")
-
-
-@query(
-    f"WITH c AS ({COUNTS_SQL}) SELECT doc_id, CASE WHEN n_card > 0 THEN 'S' ELSE CASE WHEN n_email >= 3 THEN 'S' ELSE 'S' END END AS grade, CASE WHEN n_card > 0 OR n_email >= 3 THEN 'C' END AS capped_from FROM c WHERE n_card + n_email > 0"
-)
-def pii_cap(spark, sf_dir):
-    c = counted(spark, sf_dir).filter("n_card + n_email > 0")
-    grade = F.when((F.col("n_card") > 0) | (F.col("n_email") >= 3), "C").otherwise("S")
-    over = G.rank(grade) > G.rank(F.lit("S"))
-    return c.select("doc_id", F.when(over, "S").otherwise(grade).alias("grade"), F.when(over, grade).alias("capped_from"))
-
 
 @query()
 def pii_span_resolution(spark, sf_dir):
@@ -273,11 +256,6 @@ def sensitive_min(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n")).filter("n >= 2")
 
 
-@query("SELECT page_id, lower(list_last(str_split(url, '/'))) AS name, contains(lower(list_last(str_split(url, '/'))), '1') AS hit FROM pages")
-def filename_signal(spark, sf_dir):
-    name = F.lower(T.basename(F.col("url")))
-    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), (T.count_literal(name, "1") > 0).alias("hit"))
-
 
 @query(
     "SELECT least(CAST(floor(c / 0.2) AS INT), 4) AS bin, count(*) AS n FROM (SELECT (doc_id % 101) / 100.0::DOUBLE AS c FROM documents) GROUP BY ALL"
@@ -475,11 +453,22 @@ def seed_sync_events(spark, sf_dir):
 
 
 @query(
-    f"WITH {SEED_SQL} SELECT doc_id, CASE WHEN r.hash IS NULL THEN 'missing' ELSE 'stale' END AS problems FROM seeds s LEFT JOIN recs r USING (doc_id) WHERE r.hash IS NULL OR r.hash <> s.hash"
+    f"""WITH {SEED_SQL}, v AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN CASE WHEN doc_id % 24 = 0 THEN 3 ELSE 2 END END AS dim FROM documents),
+ j AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN dim IS NULL THEN 'no_vector' END, CASE WHEN dim <> 2 THEN 'odd_dimension' END, CASE WHEN r.hash IS NULL THEN 'missing' WHEN r.hash <> s.hash THEN 'stale' END, CASE WHEN state = 'suspect' THEN 'suspect' END, CASE WHEN doc_id % 5 = 0 THEN 'odd_engine' END,
+  CASE WHEN doc_id % 28 = 0 THEN 'orphan_type' END, CASE WHEN doc_id % 44 IN (0, 4) THEN 'conflict' END], lambda x: x IS NOT NULL), ',') AS problems FROM seeds s JOIN v USING (doc_id) LEFT JOIN recs r USING (doc_id)) SELECT doc_id, problems FROM j WHERE problems <> ''"""
 )
 def seed_health(spark, sf_dir):
     seeds, records = seeds_and_records(spark, sf_dir)
-    return S.health(seeds.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0))), records, "doc_id").select("doc_id", F.array_join("problems", ",").alias("problems"))
+    two = F.when(F.col("doc_id") % 24 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    seeds = seeds.withColumns(
+        {
+            "vector": F.when(F.col("doc_id") % 9 != 0, two),
+            "engine": F.when(F.col("doc_id") % 5 == 0, "old").otherwise("new"),
+            "doctype": F.array(F.when(F.col("doc_id") % 28 == 0, "Z").otherwise("A1")),
+        }
+    )
+    pairs = seeds.filter("doc_id % 44 = 0").selectExpr("doc_id AS a", "doc_id + 4 AS b")
+    return S.health(seeds, records, "doc_id", X.nodes(spark), pairs).select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 
 @query(f"WITH {SEED_SQL} SELECT doc_id, coalesce(r.hash, s.hash) AS hash, s.state FROM seeds s FULL JOIN recs r USING (doc_id)")
@@ -508,15 +497,6 @@ def override_resolution(spark, sf_dir):
     return R.resolved(d, o, ["id1", "id2"], "event_type").select("doc_id", "event_type", "rematched_by")
 
 
-@query(
-    GRADED_SQL
-    + ", q AS (SELECT doc_id, grade IS NULL OR grade = 'O' AS need_sec, doc_id % 3 = 0 AS need_doc, coalesce(grade, '-') AS grade FROM g) SELECT doc_id, need_sec, need_doc, grade FROM q WHERE need_sec OR need_doc ORDER BY (need_sec AND need_doc) DESC, need_sec DESC, doc_id LIMIT 30"
-)
-def review_queue(spark, sf_dir):
-    g = graded(spark, sf_dir).select("doc_id", F.col("security.grade").alias("g"))
-    q = g.select("doc_id", (F.col("g").isNull() | (F.col("g") == "O")).alias("need_sec"), (F.col("doc_id") % 3 == 0).alias("need_doc"), F.coalesce("g", F.lit("-")).alias("grade"))
-    return q.filter("need_sec OR need_doc").orderBy((F.col("need_sec") & F.col("need_doc")).desc(), F.col("need_sec").desc(), "doc_id").limit(30)
-
 
 @query(
     "WITH m AS (SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'S' WHEN 3 THEN 'C' END AS grade FROM conversations) SELECT conv_id, CASE max(CASE grade WHEN 'C' THEN 3 WHEN 'S' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) WHEN 3 THEN 'C' WHEN 2 THEN 'S' WHEN 1 THEN 'O' END AS grade, count(*) FILTER (grade = 'C') AS n_c, count(*) FILTER (grade = 'S') AS n_s, count(*) FILTER (grade = 'O') AS n_o, count(*) FILTER (grade IS NULL) AS n_none FROM m GROUP BY conv_id"
@@ -594,25 +574,10 @@ def term_candidates(spark, sf_dir):
     return mined(spark, sf_dir).groupBy(M.verdict().alias("verdict")).agg(F.count("*").alias("terms"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT unnest({WORDS_SQL}) AS term FROM documents), b AS (SELECT DISTINCT unnest({WORDS_SQL}) AS term FROM benchmark) SELECT count(*) AS terms FROM w ANTI JOIN b USING (term)")
-def stopword_anti(spark, sf_dir):
-    terms = lambda t: table(spark, sf_dir, t).select(F.explode(M.words(F.col("text"))).alias("term")).distinct()
-    return terms("documents").join(terms("benchmark"), "term", "left_anti").agg(F.count("*").alias("terms"))
-
 
 # ---------------------------------------------------------------- sources and identity
 
 
-@query("SELECT source AS path, count(DISTINCT lang) AS ids FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
-def manifest_conflicts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("path")).agg(F.countDistinct("lang").alias("ids")).filter("ids > 1")
-
-
-@query("SELECT doc_id, 'file_missing' AS kind FROM documents ANTI JOIN labels USING (doc_id)")
-def missing_anti(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return d.select("doc_id", F.lit("file_missing").alias("kind"))
-
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_hash_dedup(spark, sf_dir):

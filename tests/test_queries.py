@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docgrade.plans import registry
+from docgrade.plans import lifecycle, registry  # noqa: F401 - lifecycle adds queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
