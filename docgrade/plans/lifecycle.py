@@ -18,7 +18,7 @@ from ..operators import review as R
 from ..operators import seeds as S
 from ..operators import taxonomy as X
 from ..operators import vocabulary as V
-from ..sources import files, manifests
+from ..sources import extract, files, manifests
 from ..streaming import grade as live
 from . import rules
 from .policy import DEMO, KeywordRule, Policy, RegexRule
@@ -54,12 +54,16 @@ def filename_signal(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.get(G.name_hits(policy, F.col("url")), 0)["id"].alias("id"))
 
 
-@query(
+CONFIDENCE_SQL = (
     GRADED_SQL.replace("list_max([", "[").replace("]) AS rule,", "] AS rules,").replace("greatest(rule, sensitive, stamp) AS top", "greatest(list_max(rules), sensitive, stamp) AS top").split(" g AS (")[0].rstrip(", \n")
     + """, x AS (SELECT *, list_filter(list_zip(rules || [sensitive] || [n_t1], [0.9, 0.6, 0.95, 0.95, 0.95, 0.7, 0.8, 0.7, 0.0], [1, 0, 1, 1, 1, 1, 1, 0, 0]), lambda h: h[1] = top) AS hit FROM (SELECT f.*, 0 AS n_t1 FROM f))
- SELECT doc_id, CASE WHEN top = 0 THEN 0.0 ELSE greatest(coalesce(list_max(list_transform(hit, lambda h: h[2]))::DOUBLE, 0), CASE WHEN stamp = top THEN 0.85 ELSE 0 END) END AS confidence,
- top > 0 AND coalesce(list_max(list_transform(hit, lambda h: h[3])), 0) = 1 AS seed_eligible FROM x"""
+
+ , y AS (SELECT doc_id, CASE WHEN top = 0 THEN 0.0 ELSE greatest(coalesce(list_max(list_transform(hit, lambda h: h[2]))::DOUBLE, 0), CASE WHEN stamp = top THEN 0.85 ELSE 0 END) END AS confidence,
+ top > 0 AND coalesce(list_max(list_transform(hit, lambda h: h[3])), 0) = 1 AS seed_eligible FROM x) """
 )
+
+
+@query(CONFIDENCE_SQL + "SELECT * FROM y")
 def security_confidence(spark, sf_dir):
     return graded(spark, sf_dir).select("doc_id", "security.confidence", "security.seed_eligible")
 
@@ -74,6 +78,25 @@ def why_summary(spark, sf_dir):
     return sinks.simple(r, with_why=True).join(r.select("doc_id", only.alias("sensitive_why")), "doc_id").select("doc_id", "grade", "decided_by", "sensitive_why")
 
 
+@query(
+    CONFIDENCE_SQL
+    + """, d AS (SELECT doc_id, CASE top WHEN 3 THEN 'C' WHEN 2 THEN 'S' WHEN 1 THEN 'O' END AS grade, array_to_string(list_filter([CASE WHEN top > 0 AND list_max(rules) = top THEN 'rule' END, CASE WHEN top > 0 AND sensitive = top THEN 'sensitive' END, CASE WHEN top > 0 AND stamp = top THEN 'stamp' END], lambda x: x IS NOT NULL), ',') AS decided_by FROM f)
+ SELECT doc_id, grade, confidence, decided_by FROM d JOIN y USING (doc_id)"""
+)
+def simple_records(spark, sf_dir):
+    return G.simple(G.record(graded(spark, sf_dir), "doc_id", F.lit("2026-01-01 00:00:00")), "doc_id")
+
+
+PAGE_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[ >].*?</script\s*>|<style[ >].*?</style\s*>|<head[ >].*?</head\s*>|<noscript[ >].*?</noscript\s*>|<!--.*?-->', '', 'g'), '(?i)</?(?:p|div|br|tr|td|th|li|table|h1|h2|h3|h4|h5|h6|ul|ol|section|article|header|footer|hr)(?:[\s/][^>]*)?>', chr(10), 'g') AS t FROM pages),
+ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[/!a-zA-Z][^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM a)
+ SELECT page_id, array_to_string(list_filter(list_transform(str_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b"""
+
+
+@query(PAGE_SQL)
+def html_text(spark, sf_dir):
+    return extract.html(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 # ---------------------------------------------------------------- propagation
 
 OPEN_SQL = f"""{GRADED_SQL.rstrip()}, v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT * FROM v WHERE vec_id % 5 = 0), q AS (SELECT v.* FROM v JOIN g ON g.doc_id = v.vec_id WHERE g.grade IS NULL),
@@ -490,8 +513,8 @@ def pii_all_counts(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), e AS (SELECT name, right(name, k) AS suffix FROM n, range(2, 7) r(k) WHERE length(name) > k) SELECT suffix, count(*) AS kinds FROM e WHERE suffix IN (SELECT name FROM n WHERE length(name) BETWEEN 2 AND 6) GROUP BY 1 HAVING count(*) >= 2"
+    f"WITH n AS (SELECT DISTINCT unnest({WORDS_SQL}) AS name FROM benchmark), e AS (SELECT name, right(name, k) AS suffix FROM n, range(2, 7) r(k) WHERE length(name) > k) SELECT suffix, count(*) AS kinds FROM e WHERE suffix IN (SELECT name FROM n WHERE length(name) BETWEEN 2 AND 6) GROUP BY 1 HAVING count(*) >= 2"
 )
 def suffix_mining(spark, sf_dir):
-    return V.suffixes(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")), "name")
+    return V.suffixes(table(spark, sf_dir, "benchmark").select(F.explode(M.words(F.col("text"))).alias("name")), "name")
 

@@ -223,11 +223,6 @@ def security_records(spark, sf_dir):
     return G.record(graded(spark, sf_dir), "doc_id", F.lit("2026-01-01 00:00:00"))
 
 
-@query()
-def simple_records(spark, sf_dir):
-    return G.simple(security_records(spark, sf_dir), "doc_id")
-
-
 @query(f"SELECT doc_id, {n_of('license')} AS n, CASE WHEN {n_of('license')} >= 2 THEN 'S' ELSE 'O' END AS grade FROM documents WHERE {n_of('license')} > 0")
 def bulk_escalation(spark, sf_dir):
     n = T.count_literal(F.lower("text"), "license")
@@ -590,11 +585,6 @@ def event_totals(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
-def html_text(spark, sf_dir):
-    return extract.html(table(spark, sf_dir, "pages"), "page_id", "html")
-
-
 @query(
     "SELECT n, strftime(DATE '1899-12-30' + CAST(CASE WHEN n < 60 THEN n + 1 ELSE n END AS INT), '%Y-%m-%d') AS day FROM range(1, 60000, 37) t(n)"
 )
