@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick
+from .common import map_rows, pick, settle, sifted
 from .toxicity import held_out
 
 TOP = 300
+SALTS = 16
 PAD = 0x5F
 _letters: list[np.ndarray] = []
 
@@ -126,10 +127,15 @@ def fit(docs: DataFrame, per_lang: int = 400) -> Profiles:
     """
     rows = pick(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
-    # numbers alone are ranked; Spark cuts each task's languages to per_lang before the shuffle
-    drawn = rows.select("doc_id", "lang", "order").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("order", "doc_id")))
-    drawn = drawn.filter(F.col("place") <= per_lang).groupBy("doc_id", "lang", "order").agg(F.count("*").alias("times"))
-    texts = rows.join(drawn, ["doc_id", "lang", "order"]).select("lang", "text", "times").dropDuplicates(["lang", "text"])
+    # numbers alone are ranked, a language in SALTS parts first, so that none gathers more than SALTS * per_lang
+    drawn = rows.select("doc_id", "lang", "order", F.pmod("order", F.lit(SALTS)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):
+        first = F.row_number().over(W.partitionBy(*by).orderBy("order", "doc_id"))
+        drawn = drawn.withColumn("place", first).filter(F.col("place") <= per_lang)
+    drawn, drop = settle(drawn.groupBy("doc_id", "lang", "order").agg(F.count("*").alias("times")))
+    # texts move only if they may have been drawn
+    texts = sifted(rows, F.col("order"), drawn, F.col("order")).join(drawn, ["doc_id", "lang", "order"])
+    texts = texts.select("lang", "text", "times").dropDuplicates(["lang", "text"])
 
     def count(batches):
         for batch in batches:
@@ -144,6 +150,7 @@ def fit(docs: DataFrame, per_lang: int = 400) -> Profiles:
     tops: dict[str, list] = {}
     for lang, _, gram in sorted(top.collect()):
         tops.setdefault(lang, []).append(gram)
+    drop()
     return profiles({k: np.array(v, np.int64) for k, v in tops.items()})
 
 
