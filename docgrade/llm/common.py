@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Spark's own removal of shuffle files when the query that wrote them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch between Spark and a Python worker: both ends and the way between hold some at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+WHILE_WRITING = {CLEANUP: "true", BATCH: str(16 << 20)}
 #: Characters of text that one step of a Python worker holds at once.
 CHUNK_CHARS = 4_000_000
 
@@ -150,12 +153,14 @@ def settle(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrade-{uuid.uuid4().hex}"
     flat, _ = by_place(df)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         flat.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
     def drop() -> None:
         _left.pop(path, None)

@@ -36,7 +36,7 @@ from .common import pick, pieces
 END = 2
 ROOM = 4096
 BLOCK = 1 << 20
-CACHE = 800_000
+CACHE = 300_000
 #: Prices in tokens of padding: a window, a cut at a sentence's end, a cut inside a sentence.
 WINDOW, SENTENCE, WORD = 8, 16, 256
 

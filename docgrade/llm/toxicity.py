@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ BUCKETS = 1 << 16
 SEGMENT = 8
 SIZES = (3, 4, 5)
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-CACHE = 400_000
+CACHE = 200_000
 DIM = 10
 #: An n-gram of fewer documents can only be learnt by heart; its vector stays zero.
 LEAST_DOCS = 4
@@ -124,17 +125,22 @@ class Bags:
     live: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Bags:
+    def of(cls, texts: Iterable[str | None]) -> Bags:
+        """Texts are taken one by one and never held together; n-grams are made some thousand words at a time."""
         index: dict[str, int] = {}
         words = [np.array([index.setdefault(w, len(index)) for w in (clean(t) for t in tokens(text)) if w], np.int32) for text in texts]
-        bucket, owner = subwords(list(index))
-        order = np.argsort(owner, kind="stable")
-        grams, n_grams = bucket[order], np.bincount(owner, minlength=len(index))
-        docs_of_gram = np.zeros(BUCKETS, np.int32)
+        grams, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        every = iter(index)
+        while some := list(itertools.islice(every, 20_000)):
+            bucket, owner = subwords(some)
+            grams.append(bucket[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner, minlength=len(some)))
+        grams, n_grams = np.concatenate(grams), np.concatenate(sizes)
+        starts, docs_of_gram = runs(n_grams), np.zeros(BUCKETS, np.int32)
         for own in words:
             if len(own):
                 some = np.unique(own)
-                docs_of_gram[np.unique(grams[spread(runs(n_grams)[some], n_grams[some])] if len(some) < 50_000 else grams)] += 1
+                docs_of_gram[np.unique(grams[spread(starts[some], n_grams[some])])] += 1
         return cls(words, grams, n_grams, docs_of_gram >= LEAST_DOCS)
 
     def batch(self, docs: np.ndarray) -> dict:
@@ -168,15 +174,17 @@ def softmax(lead: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(lead, -30, 30)))
 
 
-def train(texts: list[str | None], marks: list[int], seed: int = 7) -> Model:
+def train(texts: Iterable[str | None], marks: list[int], seed: int = 7) -> Model:
     """Fit the n-gram vectors and the layer together; the epoch that does best on a fifth left out is kept.
 
+    ``marks`` may fill as texts are taken.
+
     Without both labels there is nothing to learn: the model then gives every text the same score.
     """
+    bags = Bags.of(texts)
     y = np.array(marks, int)
     if not len(y) or y.min() == y.max():
         return blank()
-    bags = Bags.of(texts)
     full = np.array([len(w) > 0 for w in bags.words])
     if not (full & (y > 0)).any() or not (full & (y == 0)).any():
         return blank()
@@ -317,13 +325,21 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000
     rows = pick(docs, "doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches):
-        got = sorted((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: r[0])
-        if got:
-            m = train([r[2] for r in got], [r[1] for r in got])
+        marks: list[int] = []
+
+        def texts():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    marks.extend(part.column(1).to_pylist())
+                    yield from part.column(2).to_pylist()
+
+        m = train(texts(), marks)
+        if marks:
             cells = [m.vectors.astype("<f4").tobytes(), m.layer.astype("<f8").tobytes(), m.bias.astype("<f8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["vectors", "layer", "bias"])
 
-    found = rows.repartition(1).mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
     if not found:
         return blank()
     v, layer, bias = found[0]

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words that a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Hashes(dict):
