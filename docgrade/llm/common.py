@@ -10,9 +10,12 @@ Conventions of every operator here:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import multiprocessing
+import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch between Spark and a Python worker: both ends and the way between hold some at once.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-WHILE_WRITING = {CLEANUP: "true", BATCH: str(16 << 20)}
+SPARING = {CLEANUP: "true", BATCH: str(16 << 20)}
 #: Characters of text that one step of a Python worker holds at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,7 @@ def map_rows(
             for part in pieces(batch, text):
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -143,6 +147,51 @@ def remove_left() -> None:
             return
 
 
+@contextlib.contextmanager
+def sparing(spark: SparkSession) -> Iterator[None]:
+    """Settings for a job whose result is written or small, put back behind it."""
+    before = {k: spark.conf.get(k) for k in SPARING}
+    for k, v in SPARING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def in_child(work: Callable[[Iterator], object], items: Iterable) -> object:
+    """``work(items)`` in a process of its own, which takes its memory with it when it ends; workers live on from task to task."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe()
+
+    def run() -> None:
+        here.close()
+        try:
+            answer = True, work(iter(there.recv, None))
+        except BaseException as e:  # noqa: BLE001 - told to the task, which fails
+            answer = False, repr(e)
+        there.send(answer)
+        there.close()
+        os._exit(0)
+
+    child = context.Process(target=run)
+    child.start()
+    there.close()
+    try:
+        for item in items:
+            here.send(item)
+        here.send(None)
+        fine, answer = here.recv()
+    finally:
+        here.close()
+        child.join(5)
+        child.kill()
+    if not fine:
+        raise RuntimeError(f"the child failed: {answer}")
+    return answer
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing.
 
@@ -153,14 +202,8 @@ def settle(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrade-{uuid.uuid4().hex}"
     flat, _ = by_place(df)
-    before = {k: spark.conf.get(k) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with sparing(spark):
         flat.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
 
     def drop() -> None:
         _left.pop(path, None)

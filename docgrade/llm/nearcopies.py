@@ -140,6 +140,7 @@ def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.add(r["node"])
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [hub] * len(found), "b": sorted(found)}, schema=SCHEMA_LINKS)
+        pa.default_memory_pool().release_unused()
 
     hubs = stars.select("hub", "salt").distinct().join(sets.withColumnRenamed("node", "hub"), "hub")
     hubs = hubs.select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("node"), "own")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, map_rows, named, pick
+from .common import by_place, map_rows, named, pick, sparing
 from .toxicity import held_out
 
 #: The base kinds in order, then those that only the method adds.
@@ -305,7 +305,8 @@ def document_examples(docs: DataFrame, most_docs: int, most_rows: int) -> list[t
 
     # at most most_docs numbers; at most most_rows of 22 numbers each come to the driver
     found = map_rows(rows.join(F.broadcast(ids), "doc_id"), step, TOLD)
-    return sorted((list(r["x"]), r["y"], r["fresh"]) for r in found.orderBy("place", "x").limit(most_rows).collect())
+    with sparing(docs.sparkSession):
+        return sorted((list(r["x"]), r["y"], r["fresh"]) for r in found.orderBy("place", "x").limit(most_rows).collect())
 
 
 def fit(docs: DataFrame | None = None, most_docs: int = 3000, most_rows: int = 20_000, made_up: int = 4000, precision: float = 0.995) -> Model:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, map_rows, named, pick
+from .common import by_place, in_child, map_rows, named, pick, sparing
 
 BUCKETS = 1 << 16
 SEGMENT = 8
@@ -324,22 +324,30 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000
     wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
     rows = pick(docs, "doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def run(batches):
+    def rows_of(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+
+    def learn(parts) -> Model | None:
         marks: list[int] = []
 
         def texts():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
-                    marks.extend(part.column(1).to_pylist())
-                    yield from part.column(2).to_pylist()
+            for mark, text in itertools.chain.from_iterable(parts):
+                marks.append(mark)
+                yield text
 
         m = train(texts(), marks)
-        if marks:
+        return m if marks else None
+
+    def run(batches):
+        if m := in_child(learn, rows_of(batches)):
             cells = [m.vectors.astype("<f4").tobytes(), m.layer.astype("<f8").tobytes(), m.bias.astype("<f8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["vectors", "layer", "bias"])
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
+    with sparing(spark):
+        found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
     if not found:
         return blank()
     v, layer, bias = found[0]

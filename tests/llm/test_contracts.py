@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docgrade.llm import chat, decontamination, language, licenses, nearcopies, packing, pii, queries, substrings, topk, toxicity
-from docgrade.llm.common import settle, sifted
+from docgrade.llm.common import in_child, settle, sifted
 from docgrade.llm.queries import tokenizer_path
 
 DIR = "/root/testdata/sf0.001"
@@ -100,3 +100,9 @@ def test_sifted_keeps_what_belongs(spark):
     got = {r.id for r in sifted(rows, F.col("id"), keys, F.col("k")).collect()}
     assert set(range(300)) <= got and len(got) < 400
     assert sifted(rows, F.col("id"), keys.limit(0), F.col("k")).count() == 0
+
+
+def test_in_child():
+    assert in_child(lambda items: sum(items), range(1, 1000)) == 499500
+    with pytest.raises(RuntimeError):
+        in_child(lambda items: 1 / 0, [])
