@@ -486,6 +486,16 @@ def size_gate(spark, sf_dir):
     return fine.unionByName(rest)
 
 
+@query(
+    """WITH t AS (SELECT o_orderkey, CAST(round((o_totalprice - floor(o_totalprice)) * 86400) AS BIGINT) AS s, CAST(floor(o_totalprice / 8) AS BIGINT) AS d FROM orders), c AS (SELECT o_orderkey, d + CASE WHEN s >= 86400 THEN 1 ELSE 0 END AS d, s % 86400 AS s FROM t)
+ SELECT o_orderkey, CASE WHEN d = 60 THEN '1900-02-29' ELSE strftime(DATE '1899-12-30' + CAST(CASE WHEN d < 60 THEN d + 1 ELSE d END AS INT), '%Y-%m-%d') END || ' ' || printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS t FROM c"""
+)
+def excel_times(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    serial = F.floor(F.col("o_totalprice") / 8) + (F.col("o_totalprice") - F.floor("o_totalprice"))
+    return o.select("o_orderkey", extract.excel_text(serial, "both").alias("t"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return live.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
@@ -507,8 +517,8 @@ def set_operations(spark, sf_dir):
 
 @query()
 def pii_all_counts(spark, sf_dir):
-    """Every detector over every text, one row a label that occurs."""
-    found = F.filter(pii.counts(F.col("text"), list(pii.DETECTORS)), lambda x: x["count"] > 0)
+    """Every detector over every text, as it stands and folded; one row a label that occurs."""
+    found = F.filter(pii.counts_through(F.col("text"), list(pii.DETECTORS)), lambda x: x["count"] > 0)
     return table(spark, sf_dir, "documents").select(F.inline(found)).groupBy("label").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
 
 

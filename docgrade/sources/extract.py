@@ -64,6 +64,34 @@ def excel_day(serial: Column) -> Column:
     return F.when(n == 60, "1900-02-29").otherwise(day)
 
 
+#: Built-in number formats of spreadsheets that show days, times or both.
+DAY_FORMATS, TIME_FORMATS, BOTH_FORMATS = frozenset((14, 15, 16, 17, *range(27, 32), 34, 35, 36, *range(50, 59))), frozenset((18, 19, 20, 21, 32, 33, 45, 46, 47)), frozenset((22,))
+
+
+def builtin_kind(number: int) -> str | None:
+    """day, time, both or None of a built-in number format."""
+    return "day" if number in DAY_FORMATS else "time" if number in TIME_FORMATS else "both" if number in BOTH_FORMATS else None
+
+
+def code_kind(code: str) -> str | None:
+    """The same of a format code: quoted and escaped text, colours and conditions say nothing; [h] is a time."""
+    bare = re.sub(r'"[^"]*"|\\.|_.|\*.', "", code.split(";")[0])
+    spans = re.search(r"\[(?:h+|m+|s+)\]", bare, re.I)
+    bare = re.sub(r"\[[^\]]*\]", "", bare).lower()
+    time = bool(spans or re.search(r"[hs]|am/pm", bare))
+    day = bool(re.search(r"[yd]", bare)) or ("m" in bare and not time)
+    return "both" if day and time else "day" if day else "time" if time else None
+
+
+def excel_text(serial: Column, kind: str) -> Column:
+    """A serial number as day, time or both; seconds are rounded, and what that carries goes to the day."""
+    seconds = F.round((serial - F.floor(serial)) * 86400).cast("long")
+    carried = F.floor(serial) + (seconds >= 86400).cast("int")
+    s = seconds % 86400
+    time = F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), (s / 60).cast("int") % 60, (s % 60).cast("int"))
+    return {"day": excel_day(carried), "time": time, "both": F.concat_ws(" ", excel_day(carried), time)}[kind]
+
+
 def plain(content: bytes) -> str:
     for encoding in ("utf-8-sig", "cp949", "latin-1"):
         try:

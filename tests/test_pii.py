@@ -122,3 +122,11 @@ def test_more(spark):
 def test_merged(spark):
     rows = spark.createDataFrame([(1, 0, 5), (1, 3, 8), (1, 8, 9), (2, 0, 1)], "k int, start int, end int")
     assert dict(S.merged_count(rows, "k").collect()) == {1: 2, 2: 1}
+
+
+def test_folded(spark):
+    rows = [("O1O-1234-5678", "010-1234-5678"), ("０１０－１２３４－５６７８", "010-1234-5678"), ("010\u200b-1234-5678", "010-1234-5678"), ("Oslo B2 in 2024", "Oslo B2 in 2024"), ("45391488O343646l", "4539148803436461"), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(P.folded(F.col("t"))).collect()] == [w for _, w in rows]
+    n = df.select("i", F.filter(P.counts_through(F.col("t"), ["PHONE", "EMAIL"]), lambda x: x["count"] > 0).alias("c"))
+    assert sorted(r.i for r in n.collect() if r.c) == [0, 1, 2]

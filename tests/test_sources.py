@@ -62,3 +62,13 @@ def test_cells_stand_apart():
     row = "<table><tr><th>900101-1234568</th><th>010-1234-5678</th></tr><tr><td>a</td><td>b</td></tr></table>"
     assert E.html_to_text(row).split("\n") == ["900101-1234568", "010-1234-5678", "a", "b"]
     assert E.html_to_text("<p>x<script>y</script>z</p><noscript>n</noscript>&amp;<pre>k</pre>") == "xz\n&k"
+
+
+def test_number_formats(spark):
+    assert [E.builtin_kind(n) for n in (14, 21, 22, 0)] == ["day", "time", "both", None]
+    assert [E.code_kind(c) for c in ("yyyy-mm-dd", "[h]:mm:ss", 'yyyy"h" m/d h:mm', "0.00", "mmm", '"day" 0', "[Red]0.0", "mm:ss")] == ["day", "time", "both", None, "day", None, None, "time"]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(60.5,), (1.999999,), (0.0,), (45000.25,)], "s double")
+    got = [tuple(r) for r in rows.select(E.excel_text(F.col("s"), "day"), E.excel_text(F.col("s"), "time"), E.excel_text(F.col("s"), "both")).collect()]
+    assert got[0] == ("1900-02-29", "12:00:00", "1900-02-29 12:00:00") and got[1][2] == "1900-01-02 00:00:00" and got[3][2] == "2023-03-15 06:00:00"

@@ -15,6 +15,27 @@ def test_stream_grades_like_batch(spark, tmp_path):
     assert got == {1: "S", 2: None}
 
 
+def test_stream_counts_and_windows(spark, tmp_path):
+    rows = [(1, "a@b.kr", "en", "s", 6), (2, "plain", "en", "s", 5), (3, "x@y.org", "en", "t", 7)]
+    spark.createDataFrame(rows, S.DOCUMENT).write.parquet(str(tmp_path / "in"))
+    counts = S.grade_counts(S.graded_stream(spark, str(tmp_path / "in"), DEMO))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("grades").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.source, r.grade): r.docs for r in spark.table("grades").collect()} == {("s", "S"): 1, ("s", "none"): 1, ("t", "S"): 1}
+    schema = "ts timestamp, event_type string, value double"
+    at = lambda n, day, *some: spark.createDataFrame([(t, "a", v) for t, v in some], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"events/{n}"))
+    at(1, 1, ("2024-01-01 00:05:00", 1.0), ("2024-01-01 00:50:00", 2.0))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events/*"))
+    start = lambda: S.event_windows(events).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "windows")).trigger(availableNow=True).start().awaitTermination(120)
+    start()
+    at(2, 1, ("2024-01-01 03:00:00", 5.0))
+    start()
+    at(3, 1, ("2024-01-01 00:10:00", 100.0), ("2024-01-01 06:00:00", 1.0))  # the first comes too late
+    start()
+    got = {r.start.hour: (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "windows")).collect()}
+    assert got[0] == (2, 3.0) and 100.0 not in {t for _, t in got.values()}
+
+
 def test_globs():
     assert M.globs("a{b,c{d,e}}, x") == ["ab", "acd", "ace", "x"]
     assert M.globs("*.{txt,md},x") == ["*.txt", "*.md", "x"]
