@@ -85,14 +85,17 @@ def count_literal(hay: Column, needle: str) -> Column:
     """Occurrences that do not overlap, left to right."""
     if not needle:
         return F.lit(0)
-    return ((F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+    # bytes, not characters: a string knows how many it has
+    left = F.octet_length(F.replace(hay, F.lit(needle), F.lit("")))
+    return ((F.octet_length(hay) - left) / len(needle.encode())).cast("int")
 
 
 def count_word(hay: Column, needle: str) -> Column:
     """An ASCII term counts as a word, any other as a part of text."""
     if ASCII_TERM.fullmatch(needle):
         quoted = re.sub(r"([^0-9A-Za-z ])", r"\\\1", needle)
-        return F.regexp_count(hay, F.lit(rf"(?U)\b{quoted}\b"))
+        # most texts do not hold the term at all, and no pattern runs over them
+        return F.when(hay.contains(needle), F.regexp_count(hay, F.lit(rf"(?U)\b{quoted}\b"))).otherwise(F.when(hay.isNotNull(), 0))
     return count_literal(hay, needle)
 
 

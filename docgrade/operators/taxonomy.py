@@ -125,9 +125,16 @@ def merge(cands: DataFrame, key: str, order: str | None = None) -> DataFrame:
 
 
 def absorb(cands: DataFrame, tree_closure: DataFrame, key: str) -> DataFrame:
-    """Without the nodes that have a matched node below them in the same document."""
-    above = cands.select(key, F.col("dc_id")).join(F.broadcast(tree_closure.filter("distance > 0").select("dc_id", "ancestor")), "dc_id")
-    return cands.join(above.select(key, F.col("ancestor").alias("dc_id")).distinct(), [key, "dc_id"], "left_anti")
+    """Without the nodes that have a matched node below them in the same document.
+
+    A document's candidates, at most as many as the tree has nodes, come together once with all that
+    lies above them.
+    """
+    none = F.array().cast("array<string>")
+    ups = tree_closure.filter("distance > 0").groupBy("dc_id").agg(F.collect_set("ancestor").alias("_up"))
+    rows = cands.join(F.broadcast(ups), "dc_id", "left")  # one row a node of the tree
+    own = rows.groupBy(key).agg(F.collect_list(F.struct(*cands.columns)).alias("_c"), F.flatten(F.collect_list(F.coalesce("_up", none))).alias("_above"))
+    return own.select(F.inline(F.filter("_c", lambda c: ~F.array_contains("_above", c["dc_id"]))))
 
 
 def top_n(cands: DataFrame, key: str, n: int = 3, min_confidence: float = 0.0) -> DataFrame:
