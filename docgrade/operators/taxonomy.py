@@ -91,14 +91,18 @@ def candidates(docs: DataFrame, rules=DEMO_RULES, t_low: float = 0.30, min_disti
         titled = titled & ~F.endswith(name, F.lit(end))
     hay = F.lower(F.coalesce(F.col(text), F.lit("")))
     out = docs.withColumns({"_hay": hay, "_title": F.lower(T.first_line(F.coalesce(F.col(text), F.lit("")))), "_head": T.head(hay), "_name": name})
-    made = []
-    for node, title, head, body, *names in rules:
-        in_title = titled & (sum((T.count_compact(F.col("_title"), t) for t in title), F.lit(0)) > 0)
-        in_head = sum((T.count_compact(F.col("_head"), t) for t in head), F.lit(0)) > 0
-        in_name = sum((T.count_compact(F.col("_name"), t) for t in (names[0] if names else ())), F.lit(0)) > 0
-        found = [T.count_word(F.col("_hay"), t) for t in body]
-        distinct = sum(((n > 0).cast("int") for n in found), F.lit(0))
-        in_body = (distinct >= min_distinct) & (sum(found, F.lit(0)) >= min_count)
+    # what a rule finds is worked out once, as columns, however often the score asks for it
+    finds, made = {}, []
+    total = lambda scope, terms, count: sum((count(F.col(scope), t) for t in terms), F.lit(0))
+    for i, (_, title, head, body, *names) in enumerate(rules):
+        finds[f"_t{i}"] = titled & (total("_title", title, T.count_compact) > 0)
+        finds[f"_h{i}"] = total("_head", head, T.count_compact) > 0
+        finds[f"_n{i}"] = total("_name", names[0] if names else (), T.count_compact) > 0
+        finds[f"_b{i}"] = F.array(*[T.count_word(F.col("_hay"), t) for t in body]).cast("array<int>")
+    out = out.withColumns(finds)
+    for i, (node, *_) in enumerate(rules):
+        in_title, in_head, in_name, found = (F.col(f"_{x}{i}") for x in "thnb")
+        in_body = (F.size(F.filter(found, lambda n: n > 0)) >= min_distinct) & (F.aggregate(found, F.lit(0), lambda x, n: x + n) >= min_count)
         each = F.array(
             F.when(in_title, F.struct(F.lit("title").alias("source"), F.lit(WEIGHTS["title"]).alias("c"))),
             F.when(in_head, F.struct(F.lit("head").alias("source"), F.lit(WEIGHTS["head"]).alias("c"))),
@@ -113,7 +117,7 @@ def candidates(docs: DataFrame, rules=DEMO_RULES, t_low: float = 0.30, min_disti
                 F.struct(F.lit(node).alias("dc_id"), score.alias("confidence"), F.transform(parts, lambda x: x["source"]).alias("sources")),
             )
         )
-    out = out.withColumn("_c", F.filter(F.array(*made), lambda x: x.isNotNull())).drop("_hay", "_title", "_head", "_name")
+    out = out.withColumn("_c", F.filter(F.array(*made), lambda x: x.isNotNull())).drop("_hay", "_title", "_head", "_name", *finds)
     return out.select(*docs.columns, F.inline("_c"))
 
 
