@@ -130,3 +130,37 @@ def test_folded(spark):
     assert [r[0] for r in df.orderBy("i").select(P.folded(F.col("t"))).collect()] == [w for _, w in rows]
     n = df.select("i", F.filter(P.counts_through(F.col("t"), ["PHONE", "EMAIL"]), lambda x: x["count"] > 0).alias("c"))
     assert sorted(r.i for r in n.collect() if r.c) == [0, 1, 2]
+
+
+ADDRESSES = [
+    ("서울특별시 강남구 테헤란로 152 에서", ["서울특별시 강남구 테헤란로 152"]),
+    ("없는특별시 강남구 테헤란로 152", []),
+    ("서울특별시 해운대구 테헤란로 152", []),
+    ("테헤란로 152", []),
+    ("주소: 테헤란로 152", ["테헤란로 152"]),
+    ("강남구 테헤란로 152-3 103동 1202호 (역삼동, 가나) 끝", ["강남구 테헤란로 152-3 103동 1202호 (역삼동, 가나)"]),
+    ("강남구 테헤란로 152 한빛타워 12층", ["강남구 테헤란로 152 한빛타워 12층"]),
+    ("강남구 테헤란로 152-3-4", []),
+    ("강원특별자치도 아무시 어떤동 12", ["강원특별자치도 아무시 어떤동 12"]),
+    ("아무구 어떤동 12", []),
+    ("강남구 역삼동 12", ["강남구 역삼동 12"]),
+    ("저는 강남구 살아요", ["강남구"]),
+    ("저는 강남구에 살아요", ["강남구"]),
+    ("강남구 회의", []),
+    ("서울특별시에 거주", ["서울특별시"]),
+    # nearer than thirty characters to what was found
+    ("거주: 강남구 역삼동 12, 송파구", ["강남구 역삼동 12"]),
+    ("", []),
+]
+
+
+def test_addresses(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ADDRESSES)] + [(99, None)], "i int, t string")
+    d = P.DETECTORS["ADDRESS"]
+    got = {r.i: r for r in rows.select("i", "t", d.matches(F.col("t")).alias("m"), d.spans(F.col("t")).alias("s")).collect()}
+    assert [(t, want, got[i].m) for i, (t, want) in enumerate(ADDRESSES) if got[i].m != want] == []
+    assert all(r.t[s.start : s.end] in ADDRESSES[i][1] for i, r in got.items() for s in r.s or [])
+    assert [(s.risk, s.conf) for i in (0, 10, 14) for s in got[i].s] == [(3, 0.8), (3, 0.75), (2, 0.7)]
+    more = P.address({**P.PROVINCE_DISTRICTS, "강원특별자치도": "춘천시"})
+    far = rows.filter("i in (8)").select(more.matches(F.col("t")).alias("m")).first().m
+    assert far == []
