@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -89,7 +90,28 @@ def excel_text(serial: Column, kind: str) -> Column:
     carried = F.floor(serial) + (seconds >= 86400).cast("int")
     s = seconds % 86400
     time = F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), (s / 60).cast("int") % 60, (s % 60).cast("int"))
-    return {"day": excel_day(carried), "time": time, "both": F.concat_ws(" ", excel_day(carried), time)}[kind]
+    shown = {"day": excel_day(carried), "time": time, "both": F.concat_ws(" ", excel_day(carried), time)}[kind]
+    within = (serial >= 0) & (serial < 2958466) & ((carried < 2958466) if kind != "time" else F.lit(True))
+    return F.when(within, shown)
+
+
+def serial_text(value: str, kind: str) -> str | None:
+    """The same of one cell's text; None where it is no number or beyond the year 9999, so that the cell stays as it is."""
+    try:
+        serial = float(value)
+    except ValueError:
+        return None
+    if not 0 <= serial < 2958466:
+        return None
+    days, seconds = int(serial), round((serial - int(serial)) * 86400)
+    days, seconds = days + seconds // 86400, seconds % 86400
+    time = f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+    if kind == "time":
+        return time
+    if days > 2958465:
+        return None
+    day = "1900-02-29" if days == 60 else (datetime.date(1899, 12, 30) + datetime.timedelta(days + (days < 60))).isoformat()
+    return day if kind == "day" else f"{day} {time}"
 
 
 def plain(content: bytes) -> str:
@@ -158,27 +180,60 @@ def pptx(content: bytes) -> str:
     return "\n".join(x for x in out if x)
 
 
+def _parsed(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    """A part of a workbook; one that is absent or broken is passed over, and the others are read."""
+    try:
+        return ElementTree.fromstring(z.read(name))
+    except (KeyError, ElementTree.ParseError):
+        return None
+
+
+def _joined(e: ElementTree.Element, tag: str) -> str:
+    return "".join(x.text or "" for x in e.iter() if _local(x.tag) == tag)
+
+
+def _style_kinds(z: zipfile.ZipFile) -> list[str | None]:
+    """What each cell style shows: day, time, both or None."""
+    styles = _parsed(z, "xl/styles.xml")
+    if styles is None:
+        return []
+    every = list(styles.iter())
+    own = {e.get("numFmtId"): code_kind(e.get("formatCode") or "") for e in every if _local(e.tag) == "numFmt"}
+    cells = next((e for e in every if _local(e.tag) == "cellXfs"), ())
+    numbers = [e.get("numFmtId") or "0" for e in cells if _local(e.tag) == "xf"]
+    return [own[n] if n in own else builtin_kind(int(n)) if n.isdigit() else None for n in numbers]
+
+
 def xlsx(content: bytes) -> str:
-    """Rows joined by tabs; shared and inline strings; whole numbers without a point."""
+    """Rows joined by tabs, then comments and threaded comments, one a line.
+
+    Shared and inline strings; numbers whose style shows a day or a time as such; whole numbers without a point.
+    """
     z = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-            shared.append("".join(e.text or "" for e in si.iter() if _local(e.tag) == "t"))
+    names = z.namelist()
+    strings = _parsed(z, "xl/sharedStrings.xml")
+    shared = [] if strings is None else [_joined(si, "t") for si in strings if _local(si.tag) == "si"]
+    kinds = _style_kinds(z)
+
+    def cell(c: ElementTree.Element) -> str:
+        value, of = "".join(e.text or "" for e in c.iter() if _local(e.tag) in ("v", "t")), c.get("t")
+        if of == "s":
+            return shared[int(value)] if value.isdigit() and int(value) < len(shared) else ""
+        style = c.get("s") or "0"
+        kind = kinds[int(style)] if of in (None, "n") and style.isdigit() and int(style) < len(kinds) else None
+        shown = serial_text(value, kind) if kind else None
+        return shown if shown is not None else value.partition(".")[0] if re.fullmatch(r"-?\d+\.0+", value) else value
+
     out = []
-    for name in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
-        for row in ElementTree.fromstring(z.read(name)).iter():
-            if _local(row.tag) != "row":
-                continue
-            cells = []
-            for c in row:
-                value = "".join(e.text or "" for e in c.iter() if _local(e.tag) in ("v", "t"))
-                if c.get("t") == "s":
-                    value = shared[int(value)] if value else ""
-                elif re.fullmatch(r"-?\d+\.0+", value):
-                    value = value.partition(".")[0]
-                cells.append(value)
-            out.append("\t".join(cells))
+    for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
+        sheet = _parsed(z, name)
+        for row in () if sheet is None else sheet.iter():
+            if _local(row.tag) == "row":
+                out.append("\t".join(cell(c) for c in row if _local(c.tag) == "c"))
+    for name in sorted((n for n in names if re.fullmatch(r"xl/(?:comments|threadedComments/threadedComment)\d*\.xml", n)), key=_number):
+        part, (whole, piece) = _parsed(z, name), ("threadedComment", "text") if "threaded" in name else ("comment", "t")
+        notes = [] if part is None else [_joined(e, piece).strip() for e in part.iter() if _local(e.tag) == whole]
+        out.extend(n for n in notes if n)
     return "\n".join(out)
 
 

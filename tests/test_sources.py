@@ -72,3 +72,31 @@ def test_number_formats(spark):
     rows = spark.createDataFrame([(60.5,), (1.999999,), (0.0,), (45000.25,)], "s double")
     got = [tuple(r) for r in rows.select(E.excel_text(F.col("s"), "day"), E.excel_text(F.col("s"), "time"), E.excel_text(F.col("s"), "both")).collect()]
     assert got[0] == ("1900-02-29", "12:00:00", "1900-02-29 12:00:00") and got[1][2] == "1900-01-02 00:00:00" and got[3][2] == "2023-03-15 06:00:00"
+
+
+def test_workbook_days_and_comments():
+    styles = (
+        '<s><numFmts><numFmt numFmtId="164" formatCode="yyyy-mm-dd hh:mm"/><numFmt numFmtId="165" formatCode="0.00"/></numFmts>'
+        '<cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="21"/><xf/></cellXfs></s>'
+    )
+    cells = '<c s="1"><v>45000</v></c><c s="2"><v>45000.25</v></c><c s="3"><v>45000.5</v></c><c s="4"><v>0.5</v></c><c s="1" t="str"><v>45000</v></c><c s="9"><v>7.0</v></c><c s="1"><v>-1</v></c><c t="s"><v>4</v></c>'
+    note = "<c><authors><author>Kim</author></authors><commentList><comment><text><r><t> se</t></r><r><t>cond </t></r></text></comment><comment/></commentList></c>"
+    book = zipped(
+        xl__styles_xml=styles,
+        xl__worksheets__sheet1_xml=f"<s><sheetData><row>{cells}</row><row/></sheetData></s>",
+        xl__worksheets__sheet2_xml="<s",
+        xl__comments2_xml=note,
+        xl__comments1_xml=note.replace("cond", "cret"),
+        xl__threadedComments__threadedComment3_xml="<t><threadedComment><text>third</text></threadedComment></t>",
+    )
+    assert E.xlsx(book).split("\n") == ["2023-03-15\t2023-03-15 06:00:00\t45000.5\t12:00:00\t45000\t7\t-1\t", "", "secret", "second", "third"]
+
+
+def test_serials_as_cells_and_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    values = [0.0, 1.0, 59.0, 60.0, 61.5, 59.999999, 60.999999, 45000.25, 2958465.0, 2958465.999999, 2958466.0, -1.0]
+    rows = spark.createDataFrame([(v,) for v in values], "s double")
+    for kind in ("day", "time", "both"):
+        assert [r[0] for r in rows.select(E.excel_text(F.col("s"), kind)).collect()] == [E.serial_text(str(v), kind) for v in values]
+    assert E.serial_text("x", "day") is None and E.serial_text("nan", "day") is None and E.serial_text("", "time") is None
