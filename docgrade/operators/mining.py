@@ -11,8 +11,8 @@ from ..functions.pii import PARTICLES
 
 def words(text: Column, min_length: int = 3) -> Column:
     """Distinct lower-case words that are long enough and no numbers."""
-    each = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-zà-ɏ0-9]+")
-    return F.array_distinct(F.filter(each, lambda w: (F.length(w) >= min_length) & ~w.rlike("[0-9]")))
+    whole = rf"(?<![a-zà-ɏ0-9])[a-zà-ɏ]{{{min_length},}}+(?![0-9])"
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(whole), 0))
 
 
 def cluster_weights(docs: DataFrame, *by: str) -> DataFrame:

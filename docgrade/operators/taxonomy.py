@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ NODE = "dc_id string, parent string, ord int, title string"
 
 
 def nodes(spark: SparkSession, rows=DEMO) -> DataFrame:
-    return spark.createDataFrame(rows, NODE)
+    """The tree as a local relation: Arrow data this small stays in the plan, and no Python worker reads it."""
+    names = [c.split()[0] for c in NODE.split(", ")]
+    types = (pa.string(), pa.string(), pa.int32(), pa.string())
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))}), NODE)
 
 
 class TaxonomyError(ValueError):

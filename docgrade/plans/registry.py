@@ -22,6 +22,7 @@ from ..operators import spans as P
 from ..operators import taxonomy as X
 from ..operators import vectors as V
 from ..sources import extract
+from .layout import dealt
 from .policy import DEMO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for queries that work on each of them at length."""
+    return dealt(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- text
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -51,12 +57,12 @@ CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 @query(f"SELECT doc_id, md5({CLEAN}) AS clean_md5, length({CLEAN}) AS n_clean FROM documents")
 def clean_text_ascii(spark, sf_dir):
     t = T.clean_ascii(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("clean_md5"), F.length(t).cast("long").alias("n_clean"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(t.cast("binary")).alias("clean_md5"), F.length(t).cast("long").alias("n_clean"))
 
 
 @query(f"SELECT doc_id, md5({CLEAN.replace('text,', 'nfc_normalize(text),', 1)}) AS clean_md5 FROM documents")
 def nfc_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("clean_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("clean_md5"))
 
 
 @query(
@@ -147,7 +153,7 @@ COUNTS_SQL = f"SELECT doc_id, lang, source, text, len({EMAIL_SQL}) AS n_email, l
 
 def counted(spark, sf_dir, *keep: str) -> DataFrame:
     labels = {"EMAIL": "n_email", "IP": "n_ip", "CARD": "n_card"}
-    return table(spark, sf_dir, "documents").select("doc_id", *keep, *[F.size(pii.DETECTORS[k].hits(F.col("text"))).cast("long").alias(n) for k, n in labels.items()])
+    return documents(spark, sf_dir).select("doc_id", *keep, *[F.size(pii.DETECTORS[k].hits(F.col("text"))).cast("long").alias(n) for k, n in labels.items()])
 
 
 @query(
@@ -162,7 +168,7 @@ def pii_counts_by_label(spark, sf_dir):
 
 @query()
 def pii_span_resolution(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(P.resolve(pii.detect(F.col("text")))))
+    return documents(spark, sf_dir).select("doc_id", F.inline(P.resolve(pii.detect(F.col("text")))))
 
 
 @query(
@@ -200,7 +206,7 @@ GRADED_SQL = f"""WITH c AS ({COUNTS_SQL}), k AS (SELECT *, {n_of('license')} + {
 
 def graded(spark, sf_dir) -> DataFrame:
     """Graded documents; no document carries a name here, so the name signal is silent."""
-    return G.graded(table(spark, sf_dir, "documents"), DEMO)
+    return G.graded(documents(spark, sf_dir), DEMO)
 
 
 @query(GRADED_SQL + "SELECT coalesce(grade, 'none') AS grade, count(*) AS docs FROM g GROUP BY ALL")
@@ -284,7 +290,7 @@ CAND_SQL = (
 
 
 def typed(spark, sf_dir) -> DataFrame:
-    return X.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return X.candidates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 @query(f"WITH {CAND_SQL} SELECT doc_id, dc_id, round(confidence, 6) AS confidence FROM cand")

@@ -64,3 +64,20 @@ def test_outside_by_force():
         assert T.outside(hay, needle, excludes) == (len(found), found[0] if found else -1)
         if excludes and (single := T.subtractable(needle, excludes)):
             assert hay.count(needle) - hay.count(single[0]) == len(found), (hay, needle, excludes)
+
+
+def test_small_tables_are_dealt_and_large_ones_stay(spark, tmp_path):
+    from docgrade.plans.layout import dealt
+
+    spark.range(100).selectExpr("id", "repeat('x', 50) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert dealt(t).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt(t, most=10) is t
+    assert sorted(dealt(t).collect()) == sorted(t.collect()) and dealt(t.limit(0)).count() == 0
+
+
+def test_mined_words(spark):
+    from docgrade.operators.mining import words
+
+    rows = spark.createDataFrame([("One one, tw o3ne abc1 1abc abc ÉTÉ an-other",), ("",), (None,), ("x" * 100000 + " y",)], "t string")
+    assert [r[0] for r in rows.select(words(F.col("t"))).collect()] == [["one", "abc", "été", "other"], [], [], ["x" * 100000]]
