@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrade.llm import decontamination, nearcopies, packing, pii, toxicity
-from docgrade.llm.common import by_place, named, settle, table
+from docgrade.llm.common import by_place, lean, named, settle, table
 from docgrade.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go. Null texts are not toxic."""
+    lean(spark)
     return toxicity.keep(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
@@ -28,6 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share an id stay or go with it; of those that share id and text one stays. Null, empty
     and word-free texts and rows without an id stay.
     """
+    lean(spark)
     marks = nearcopies.groups(docs, size=5).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
     marks, _ = settle(marks.filter("NOT kept OR times > 1"))
     flat, at = by_place(docs)
@@ -41,16 +43,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets."""
+    lean(spark)
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
+    lean(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, settle
+from .common import map_rows, pick, settle, tidy
 from .wordhash import hashes, split, windows
 
 BINS, ROWS = 128, 4
@@ -140,7 +140,7 @@ def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.add(r["node"])
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [hub] * len(found), "b": sorted(found)}, schema=SCHEMA_LINKS)
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     hubs = stars.select("hub", "salt").distinct().join(sets.withColumnRenamed("node", "hub"), "hub")
     hubs = hubs.select("hub", "salt", F.lit(0).alias("side"), F.col("hub").alias("node"), "own")

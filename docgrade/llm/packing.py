@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, pieces
+from .common import pick, pieces, remember, tidy
 
 END = 2
 ROOM = 4096
@@ -251,6 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """
 
     def run(batches):
+        remember("tokens", tokens_of.cache_clear)
         tokens = tokens_of(tokenizer)
         packer = Packer(tokens.ends, TaskContext.get().partitionId() << 32, room)
         rows: list[tuple] = []
@@ -269,6 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
         rows += packer.flush()
         if rows:
             yield table()
+        tidy()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 

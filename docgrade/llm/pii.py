@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, map_rows, named, pick, sparing
+from .common import by_place, map_rows, named, pick, remember, sparing
 from .toxicity import held_out
 
 #: The base kinds in order, then those that only the method adds.
@@ -295,6 +295,7 @@ def document_examples(docs: DataFrame, most_docs: int, most_rows: int) -> list[t
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).distinct()
 
     def step(cols: dict[str, list]) -> dict[str, list]:
+        remember("pii", list)
         out: dict[str, list] = {"x": [], "y": [], "fresh": [], "place": []}
         for i, text in zip(cols["doc_id"], cols["text"], strict=True):
             for n, (x, y) in enumerate(told(text)):
@@ -423,6 +424,7 @@ def scan(docs: DataFrame, m: Model | None = None, with_text: bool = False) -> Da
     m = fit(docs) if m is None else m
 
     def step(cols: dict[str, list]) -> dict[str, list]:
+        remember("pii", list)
         out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.split(", ")}
         for i, text in zip(cols["doc_id"], cols["text"], strict=True):
             base, every = find(text, m)
@@ -449,6 +451,7 @@ def redacted(docs: DataFrame, m: Model | None = None) -> DataFrame:
     text = at["text"]
 
     def step(cols: dict[str, list]) -> dict[str, list]:
+        remember("pii", list)
         return cols | {text: [redact(t, find(t, m)[1]) for t in cols[text]]}
 
     out = map_rows(flat, step, flat.schema, text)

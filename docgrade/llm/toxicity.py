@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, in_child, map_rows, named, pick, sparing
+from .common import by_place, in_child, map_rows, named, pick, remember, sparing
 
 BUCKETS = 1 << 16
 SEGMENT = 8
@@ -342,6 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 4000
         return m if marks else None
 
     def run(batches):
+        remember("training", list)  # nothing; what others know need not stand in two processes
         if m := in_child(learn, rows_of(batches)):
             cells = [m.vectors.astype("<f4").tobytes(), m.layer.astype("<f8").tobytes(), m.bias.astype("<f8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["vectors", "layer", "bias"])
@@ -364,10 +365,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def step(cols: dict[str, list]) -> dict[str, list]:
         if not made:
+            remember("toxicity", list)
             made.append(scorer(model))
         return {"doc_id": cols["doc_id"], "score": made[0](cols["text"]).tolist()}
 
-    out = map_rows(pick(docs, "doc_id", "text"), step, "doc_id long, score double")
+    out = map_rows(pick(docs, "doc_id", "text"), step, "doc_id long, score double", after=made.clear)
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
@@ -383,8 +385,9 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def step(cols: dict[str, list]) -> dict[str, list]:
         if not made:
+            remember("toxicity", list)
             made.append(scorer(model))
         fine = (made[0](cols[at["text"]]) < threshold).tolist()
         return {c: list(itertools.compress(v, fine)) for c, v in cols.items()}
 
-    return named(map_rows(flat, step, flat.schema, at["text"]), docs.columns)
+    return named(map_rows(flat, step, flat.schema, at["text"], after=made.clear), docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import remember
+
 #: Distinct words that a worker remembers.
 CACHE = 200_000
 
@@ -30,6 +32,7 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
+    remember("words", _known.clear)
     if len(_known) > CACHE:
         _known.clear()
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
