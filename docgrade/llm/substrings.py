@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, settle, sifted
+from .common import pick, pieces, settle, sifted, tidy
 from .wordhash import hashes, split, windows
 
 WINDOW = 35
 #: The longest block of a grid of which any window holds a whole one.
 BLOCK = (WINDOW + 1) // 2
 PROBE_BITS = 48
-#: Characters of text in one unit of work.
-UNIT_CHARS = 2_000_000
+#: Characters of text in one unit of work: a unit is one row, and a writer holds a hundred rows before it looks at their size.
+UNIT_CHARS = 500_000
 _pack = zstandard.ZstdCompressor(level=1)
 _unpack = zstandard.ZstdDecompressor()
 
@@ -134,8 +134,8 @@ def hit_blocks(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = [t or "" for t in part.column(0).to_pylist()]
-                for a, b in units(texts):
-                    yield pa.RecordBatch.from_pydict(probe_blobs(texts[a:b], parts), schema=SCHEMA_PROBES)
+                yield pa.RecordBatch.from_pydict(probe_blobs(texts, parts), schema=SCHEMA_PROBES)
+        tidy()
 
     def answer(batches):
         for _, rows in by_part(batches):
@@ -158,6 +158,7 @@ def hit_blocks(docs: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {"key": pa.array(np.concatenate(owners)[hit]), "block": pa.array(np.concatenate(numbers)[hit])}
                 )
+        tidy()
 
     asked = docs.select("text").mapInArrow(ask, PROBES)
     found = asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "key long, block int")
@@ -218,6 +219,7 @@ def hit_units(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         for name, v in (("key", key), ("key64", key64(key)), ("doc_id", i), ("text", t or "")):
                             out[name].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=SCHEMA_KEYED)
+        tidy()
 
     keyed = sifted(docs.mapInArrow(own_key, "key binary, key64 long, doc_id long, text string"), F.col("key64"), wanted, F.col("key64"))
     w = wanted.select(F.col("key").alias("w_key"), F.col("doc_id").alias("w_id"), "blocks").hint("shuffle_hash")
@@ -311,6 +313,7 @@ def removed(unit_rows: DataFrame, parts: int) -> DataFrame:
                     out["n_removed"].append(int(len(words) - keep.sum()))
                     out["kept_sha256"].append(sha(list(itertools.compress(words, keep.tolist()))))
                 yield pa.RecordBatch.from_pydict(out, schema=SCHEMA_REMOVED)
+        tidy()
 
     told = unit_rows.join(of_unit, "unit", "left").select("keys", "texts", "blocks", "answers")
     return told.mapInArrow(apply, "key binary, n_removed long, kept_sha256 string")
@@ -348,6 +351,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                     out["n_words"].append(len(words))
                     out["whole_sha256"].append(sha(words))
                 yield pa.RecordBatch.from_pydict(out, schema=SCHEMA_COUNTED)
+        tidy()
 
     counted, _ = settle(rows.mapInArrow(count, "doc_id long, key binary, key64 long, n_words long, whole_sha256 string"))
     texts = counted.filter(F.col("n_words") >= WINDOW).groupBy("key", "key64").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docgrade.llm import common, wordhash
+from docgrade.llm import common, substrings, wordhash
 
 
 def test_lazy_stages_move_small_batches(spark):
@@ -40,3 +40,11 @@ def test_settled_tables_have_small_row_groups(spark):
     groups = [pq.ParquetFile(p).metadata.num_row_groups for p in paths]
     assert out.count() == 400_000 and max(groups) > 1
     drop()
+
+
+def test_units_are_small_rows():
+    texts = ["some words " * 5_000] * 40  # 2.2 million characters
+    found = list(substrings.units(texts))
+    assert [i for a, b in found for i in range(a, b)] == list(range(40))
+    assert max(sum(map(len, texts[a:b])) for a, b in found) <= 500_000
+    assert list(substrings.units(["x" * 3_000_000])) == [(0, 1)]  # a long text is taken whole
