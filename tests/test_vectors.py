@@ -41,3 +41,19 @@ def test_small_tables_meet_in_many_tasks_and_small_batches(spark, some):
     nothing = lambda stream, held, *_: iter(())
     assert V.grid(df, df, "id", "v", nothing, "a long", same=True).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert int(spark.conf.get(layout.BATCH)) <= 8 << 20
+
+
+def test_only_what_seeds_leave_undecided_meets_itself(spark, some, monkeypatch):
+    v, df = some
+    seeds, asked = df.filter("id < 20"), []
+    monkeypatch.setattr(V, "near_duplicates", lambda vectors, *a, **k: asked.append(vectors) or whole(vectors, *a, **k))
+    got = {r.id: r.verdict for r in V.greedy_distinct(df.withColumn("place", -df.id), seeds, "id", "v", "place", 0.95).collect()}
+    sims, taken, want = np.round(all_pairs(v), 9), [], {}
+    for i in range(59, -1, -1):
+        want[i] = "existing" if i < 20 else "near_seed" if (sims[i, :20] >= 0.95).any() else "near_added" if (sims[i, taken] >= 0.95).any() else "added"
+        taken += [i] * (want[i] == "added")
+    assert got == want and set(got.values()) == {"existing", "near_seed", "near_added", "added"}
+    assert {r.id for r in asked[0].collect()} == {i for i, x in got.items() if x in ("added", "near_added")}
+
+
+whole = V.near_duplicates
