@@ -81,3 +81,17 @@ def test_mined_words(spark):
 
     rows = spark.createDataFrame([("One one, tw o3ne abc1 1abc abc ÉTÉ an-other",), ("",), (None,), ("x" * 100000 + " y",)], "t string")
     assert [r[0] for r in rows.select(words(F.col("t"))).collect()] == [["one", "abc", "été", "other"], [], [], ["x" * 100000]]
+
+
+def test_only_texts_that_may_not_be_composed_go_to_python(spark):
+    import unicodedata
+
+    second = {int(p[1], 16) for c in range(0x110000) if len(p := unicodedata.decomposition(chr(c)).split()) == 2 and not p[0].startswith("<")}
+    second |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for a, b in T.COMPOSED:
+        assert all(not unicodedata.combining(chr(c)) and unicodedata.normalize("NFC", chr(c)) == chr(c) and c not in second for c in range(a, b + 1))
+    plain = ["abc", "déjà – vu", "한글 text", "漢字かな", "", None]
+    loose = ["é", "한", "ａ́", "KK", "が", "x\U0001d15e", "Ά", " "]
+    rows = spark.createDataFrame([(t,) for t in plain + loose], "t string").select("t", F.col("t").rlike(T._BEYOND).alias("sent"), T.nfc(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [t and unicodedata.normalize("NFC", t) for t in plain + loose]
+    assert not any(r.sent for r in rows[: len(plain)]) and all(r.sent for r in rows[len(plain) :])
