@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.pii import PARTICLES
+from ..functions.pii import PARTICLES, let
 
 
 def words(text: Column, min_length: int = 3) -> Column:
@@ -57,36 +59,52 @@ def verdict(min_docs: int = 3, min_folders: int = 2, max_neg: float = 0.05) -> C
 # ---------------------------------------------------------------- words of documents
 
 
+#: Signs of words, and words that are no words: numbers and what begins with a digit, one sign repeated, file extensions.
+_SIGN = "[0-9a-zà-ɏ가-힣]"
+_EXTENSION = "(?:pdf|docx?|xlsx?|pptx?|hwpx?|txt|html?)"
+
+
 def tokens(text: Column, suffixes: tuple[str, ...] = (), endings: tuple[str, ...] = (), particles: tuple[str, ...] = tuple(PARTICLES), least: int = 2) -> Column:
     """Distinct words fit for rules: particles stripped (not from words that end like a document's name, two
-    signs stay), without numbers, words with digits in front, file extensions, verb endings and short ones."""
-    each = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^0-9a-zà-ɏ가-힣]+"), lambda w: w != "")
+    signs stay), without numbers, words with digits in front, file extensions, verb endings and short ones.
+
+    One pattern finds them. Only in texts with a sign in the range of particles' last ones are words, each once, looked at one by one.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    whole = rf"(?<!{_SIGN})(?![0-9])(?!(.)\1*+(?!{_SIGN}))(?!{_EXTENSION}(?!{_SIGN})){_SIGN}{{{max(least, 1)},}}+"
+    out = F.array_distinct(F.regexp_extract_all(low, F.lit(whole), 0))
     if particles:
         bare = rf"(?<=..)(?:{'|'.join(particles)})$"
         kept = rf"(?:{'|'.join(suffixes)})$" if suffixes else None
         strip = lambda w: F.regexp_replace(w, bare, "")
+        each = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_SIGN}++"), 0))
         each = F.transform(each, (lambda w: F.when(w.rlike(kept), w).otherwise(strip(w))) if kept else strip)
-    junk = r"^[0-9]|^(.)\1*$|^(?:pdf|docx?|xlsx?|pptx?|hwpx?|txt|html?)$"
-    usable = lambda w: (F.length(w) >= least) & ~w.rlike(junk)
-    out = F.filter(each, usable)
+        junk = rf"^[0-9]|^(.)\1*$|^{_EXTENSION}$"
+        each = F.array_distinct(F.filter(each, lambda w: (F.length(w) >= least) & ~w.rlike(junk)))
+        last = sorted(p[-1] for p in particles)
+        out = F.when(low.rlike(f"[{re.escape(last[0])}-{re.escape(last[-1])}]"), each).otherwise(out)
     if endings:
         out = F.filter(out, lambda w: ~w.rlike(rf"(?:{'|'.join(endings)})$"))
-    return F.array_distinct(out)
+    return out
 
 
 def fields(title: Column, name: Column, head: Column, body: Column, suffixes: tuple[str, ...] = ()) -> Column:
     """struct(title, name, head, body, loose): each field's words without those of the fields before it; loose are
     the words of the body that end like no document's name."""
-    t, n, h, b = (tokens(c, suffixes) for c in (title, name, head, body))
-    ends = rf"(?:{'|'.join(suffixes)})$" if suffixes else r"(?!)"
-    known = F.array_union(F.array_union(t, n), h)
-    return F.struct(
-        t.alias("title"),
-        F.array_except(n, t).alias("name"),
-        F.array_except(h, F.array_union(t, n)).alias("head"),
-        F.array_except(b, known).alias("body"),
-        F.filter(b, lambda w: ~w.rlike(ends)).alias("loose"),
-    )
+    found = F.struct(*[tokens(c, suffixes).alias(k) for k, c in (("t", title), ("n", name), ("h", head), ("b", body))])
+    ends = rf"(?:{'|'.join(suffixes)})$"
+
+    def parted(w: Column) -> Column:
+        t, n, h, b = (w[k] for k in "tnhb")
+        return F.struct(
+            t.alias("title"),
+            F.array_except(n, t).alias("name"),
+            F.array_except(h, F.array_union(t, n)).alias("head"),
+            F.array_except(b, F.array_union(F.array_union(t, n), h)).alias("body"),
+            (F.filter(b, lambda x: ~x.rlike(ends)) if suffixes else b).alias("loose"),
+        )
+
+    return let(found, parted)
 
 
 def merged_labels(approved: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:

@@ -95,3 +95,19 @@ def test_only_texts_that_may_not_be_composed_go_to_python(spark):
     rows = spark.createDataFrame([(t,) for t in plain + loose], "t string").select("t", F.col("t").rlike(T._BEYOND).alias("sent"), T.nfc(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == [t and unicodedata.normalize("NFC", t) for t in plain + loose]
     assert not any(r.sent for r in rows[: len(plain)]) and all(r.sent for r in rows[len(plain) :])
+
+
+def test_words_of_fields_are_found_once_and_as_before(spark):
+    from docgrade.operators import mining as M
+
+    text = "Budget 2024plan aaa PDF budget été a b2 x9x 예산을 예산 에서 나나 report.docx plan"
+    want = {(): ["budget", "été", "b2", "x9x", "예산을", "예산", "에서", "report", "plan"], None: ["budget", "été", "b2", "x9x", "예산", "에서", "report", "plan"]}
+    for particles, words in want.items():
+        extra = {} if particles is None else {"particles": particles}
+        assert one(spark, M.tokens(F.col("t"), **extra), t=text) == words
+    assert one(spark, M.tokens(F.col("t")), t="plain Text aaa 12 txt text") == ["plain", "text"]
+    f = M.fields(F.lit("plan"), F.lit("plan budget"), F.lit("budget head"), F.col("t"))
+    assert one(spark, f, t="body head plan") == (["plan"], ["budget"], ["head"], ["body"], ["body", "head", "plan"])
+    # what nobody asks of a field's words is not worked out: without suffixes all of the body's are loose
+    df = spark.createDataFrame([("x",)], "t string").select(M.fields(F.lit(""), F.lit(""), F.lit(""), F.col("t")).alias("f"))
+    assert "(?!)" not in df._jdf.queryExecution().optimizedPlan().toString()
