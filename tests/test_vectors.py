@@ -57,3 +57,12 @@ def test_only_what_seeds_leave_undecided_meets_itself(spark, some, monkeypatch):
 
 
 whole = V.near_duplicates
+
+
+def test_records_are_graded_once_for_propagation(spark):
+    from docgrade.plans.lifecycle import propagated
+
+    plan = propagated(spark, "/root/testdata/sf0.001").select("doc_id", "outcome", "security.grade")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    assert sum("FileScan parquet" in x and "text" in x.split("Batched")[0] for x in final.splitlines()) == 1
